@@ -6,6 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,14 +74,18 @@ def calibrated(score: Column, calibration: Calibration) -> Column:
 
 
 def _interpolated(score: Column, knots: Sequence[tuple[float, float]]) -> Column:
+    """Linear between knots and flat outside them. The number of knots follows the training data, so
+    this is a binary search over arrays rather than a chain of conditions."""
     if not knots:
         raise ValueError("isotonic calibration needs knots")
-    (x0, y0) = knots[0]
-    value = F.when(score <= F.lit(x0), F.lit(y0))
-    for (xa, ya), (xb, yb) in zip(knots, knots[1:]):
-        slope = (yb - ya) / (xb - xa) if xb > xa else 0.0
-        value = value.when(score <= F.lit(xb), F.lit(ya) + (score - F.lit(xa)) * F.lit(slope))
-    return value.otherwise(F.lit(knots[-1][1]))
+    xs = np.array([x for x, _ in knots], dtype=float)
+    ys = np.array([y for _, y in knots], dtype=float)
+
+    @F.pandas_udf("double")
+    def interpolate(values: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(values.to_numpy(dtype=float), xs, ys))
+
+    return interpolate(score)
 
 
 def long_horizon_risk(short: Column) -> Column:

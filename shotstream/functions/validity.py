@@ -45,3 +45,14 @@ def missing_as_null(column: str | Column) -> Column:
 
 def good_value(value: str = "value", quality: str = "quality") -> Column:
     return F.when(F.col(quality) == "good", F.col(value))
+
+
+def last_per_name(channels: str | Column) -> Column:
+    """Samples of a point with repeated names removed, the last one of a name kept."""
+    column = F.col(channels) if isinstance(channels, str) else channels
+
+    def is_last(sample: Column, i: Column) -> Column:
+        later = F.slice(column, i + 2, F.size(column))
+        return ~F.exists(later, lambda other: other["name"] == sample["name"])
+
+    return F.filter(column, is_last)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_ingest", "q_features", "q_risk", "q_evaluation")
+MODULES = ("q_ingest", "q_features", "q_risk", "q_evaluation", "q_streams", "q_training")
 
 
 def load_all() -> None:
