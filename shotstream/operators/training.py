@@ -50,28 +50,41 @@ def training_table(
     return labels.label_horizons(labels.fill_features(timed, names), horizons_ms), names
 
 
-def _assembled(df: DataFrame, names: Sequence[str], label: str) -> DataFrame:
+# Every iteration of a solver schedules one task per partition; below this many rows a task costs
+# more to start than to run.
+ROWS_PER_TASK = 20_000
+
+
+def _assembled(df: DataFrame, names: Sequence[str], label: str) -> tuple[DataFrame, int]:
+    """Feature vectors and labels, cached for the passes of a solver, and their number."""
     vectors = VectorAssembler(inputCols=list(names), outputCol="_x").transform(df)
-    return vectors.select("_x", F.col(label).cast("double").alias("_y"))
+    wanted = vectors.select("_x", F.col(label).cast("double").alias("_y")).persist()
+    rows = wanted.count()
+    return wanted.coalesce(max(1, rows // ROWS_PER_TASK)), rows
 
 
 def fit_logistic(
-    df: DataFrame, names: Sequence[str], label: str, version: str = "", max_iter: int = 1000
+    df: DataFrame,
+    names: Sequence[str],
+    label: str,
+    version: str = "",
+    max_iter: int = 1000,
+    tol: float = 1e-4,
 ) -> LinearModel:
     """Ridge logistic regression with unit inverse strength over unscaled features.
 
     The intercept is not penalised, which is the one difference to a solver that treats it as a
     feature.
     """
-    data = _assembled(df, names, label)
-    rows = max(1, data.count())
+    data, rows = _assembled(df, names, label)
     fitted = LogisticRegression(
         featuresCol="_x",
         labelCol="_y",
-        regParam=1.0 / rows,
+        regParam=1.0 / max(1, rows),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
+        tol=tol,
     ).fit(data)
     weights = [float(w) for w in fitted.coefficients]
     return LinearModel(dict(zip(names, weights)), float(fitted.intercept), version)
@@ -85,9 +98,10 @@ def fit_gbt(
     if spark.sparkContext.getCheckpointDir() is None:
         # Boosting cuts its growing lineage here.
         spark.sparkContext.setCheckpointDir(work_dir(spark, "boosting"))
+    data, _ = _assembled(df, names, label)
     return GBTClassifier(
         featuresCol="_x", labelCol="_y", maxIter=iterations, seed=seed, checkpointInterval=10
-    ).fit(_assembled(df, names, label))
+    ).fit(data)
 
 
 def gbt_scores(model, df: DataFrame, names: Sequence[str]) -> DataFrame:

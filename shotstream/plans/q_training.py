@@ -34,7 +34,7 @@ def train_logistic(spark, sf_dir):
 
 @query("train_gbt")
 def train_gbt(spark, sf_dir):
-    model = training.fit_gbt(_table(spark, sf_dir).persist(), wide_names(), LABEL)
+    model = training.fit_gbt(_table(spark, sf_dir), wide_names(), LABEL)
     rows = training.importances(model, wide_names())
     return rounded(spark.createDataFrame(rows, "feature string, importance double"))
 
