@@ -47,22 +47,35 @@ def _slice_width(df: DataFrame, keys: Sequence[str], ts: str, rows: int) -> Data
 def _sliced(df: DataFrame, keys: Sequence[str], ts: str, limits: Limits) -> DataFrame:
     # The broadcast side is a global aggregate, so it is one row whatever the input size.
     width = F.broadcast(_slice_width(df, keys, ts, limits.slice_rows))
-    return df.crossJoin(width).withColumn("_slice", F.expr(f"`{ts}` div _width")).drop("_width")
+    # Two structs with null fields are equal, two nulls are not: joining on a struct of the keys
+    # keeps rows whose key is null.
+    return (
+        df.crossJoin(width)
+        .withColumn("_slice", F.expr(f"`{ts}` div _width"))
+        .withColumn("_key", F.struct(*keys))
+        .drop("_width")
+    )
+
+
+_SLICE = ("_key", "_slice")
+
+
+def _before(*parts: str) -> WindowSpec:
+    return Window.partitionBy(*parts).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], limits: Limits) -> DataFrame:
     sliced = _sliced(df, keys, order[0], limits)
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*keys, "_slice")
+        sliced.groupBy(*_SLICE)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        .select(*_SLICE, F.coalesce(F.sum("_rows").over(_before("_key")), F.lit(0)).alias("_offset"))
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    inside = Window.partitionBy(*_SLICE).orderBy(*order)
     return (
-        sliced.join(offsets, [*keys, "_slice"])
+        sliced.join(offsets, [*_SLICE])
         .withColumn("pos", F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_slice", "_offset")
+        .drop(*_SLICE, "_offset")
     )
 
 
@@ -136,24 +149,24 @@ def carry_forward(
         F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*order))).alias(f"_carry_{n}")
         for n in values
     ]
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = _before("_key")
     carries = (
-        sliced.groupBy(*keys, "_slice")
+        sliced.groupBy(*_SLICE)
         .agg(*latest)
         .withColumns(
             {f"_carry_{n}": F.last(f"_carry_{n}", ignorenulls=True).over(before) for n in values}
         )
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(*upto)
+    inside = Window.partitionBy(*_SLICE).orderBy(*order).rowsBetween(*upto)
     return (
-        sliced.join(carries, [*keys, "_slice"])
+        sliced.join(carries, [*_SLICE])
         .withColumns(
             {
                 n: F.coalesce(F.last(n, ignorenulls=True).over(inside), F.col(f"_carry_{n}"))
                 for n in values
             }
         )
-        .drop("_slice", *[f"_carry_{n}" for n in values])
+        .drop(*_SLICE, *[f"_carry_{n}" for n in values])
     )
 
 
@@ -171,17 +184,16 @@ def running_max_before(
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*earlier)
         return df.withColumn(name, F.max(column).over(window))
     sliced = _sliced(df, keys, order[0], limits)
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(*earlier)
     carries = (
-        sliced.groupBy(*keys, "_slice")
+        sliced.groupBy(*_SLICE)
         .agg(F.max(column).alias("_carry"))
-        .withColumn("_carry", F.max("_carry").over(before))
+        .withColumn("_carry", F.max("_carry").over(_before("_key")))
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(*earlier)
+    inside = Window.partitionBy(*_SLICE).orderBy(*order).rowsBetween(*earlier)
     return (
-        sliced.join(carries, [*keys, "_slice"])
+        sliced.join(carries, [*_SLICE])
         .withColumn(name, F.greatest(F.max(column).over(inside), F.col("_carry")))
-        .drop("_slice", "_carry")
+        .drop(*_SLICE, "_carry")
     )
 
 

@@ -78,3 +78,16 @@ def test_dimension_join_spreads_a_hot_key(spark, df):
         "_salt", F.pmod(F.xxhash64("ts_unix_ns"), F.lit(32))
     )
     assert hot.select("_salt").distinct().count() > 16
+
+
+def test_rows_with_null_keys_are_kept(spark, limits):
+    rows = [(k, i, float(i)) for k in (None, "", "a") for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, t bigint, value double")
+    placed = sq.with_position(df, ["k"], ["t"], limits)
+    assert sorted((r.k or repr(r.k), r.pos) for r in placed.collect()) == sorted(
+        (k or repr(k), i) for k, i, _ in rows
+    )
+    seen = sq.running_max_before(df, ["k"], ["t"], "value", "m", limits)
+    assert seen.count() == 90 and seen.filter("m is null").count() == 3
+    carried = sq.carry_forward(df, ["k"], ["t"], {"c": F.when(F.col("t") == 0, F.col("value"))}, limits)
+    assert carried.filter("c = 0").count() == 90
