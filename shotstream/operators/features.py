@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from shotstream.functions.validity import missing_as_null
@@ -21,35 +21,171 @@ ONLINE_STATS = ("mean", "std", "min", "max", "slope", "last", "delta")
 OFFLINE_STATS = ONLINE_STATS
 
 
-def _common(value: Column, frame: WindowSpec, order: WindowSpec, stat: str) -> Column | None:
-    if stat == "mean":
-        return F.avg(value).over(frame)
+def window_samples(window_ms: int, rate_hz: int) -> int:
+    return int(window_ms * rate_hz / 1000)
+
+
+def _divisor(n: int) -> int:
+    """Length of the pieces a frame of ``n`` rows is put together from: few rows, few pieces."""
+    return min((d for d in range(1, n + 1) if n % d == 0), key=lambda d: (d + n // d, -d))
+
+
+# A frame is re-aggregated for every row, so its cost grows with its length. Longer frames are
+# therefore joined from shorter ones that lie end to end: the piece that ends at this row, the piece
+# that ended one length earlier, and so on. 200 rows become four lagged results of 50, and 50 rows
+# five of 10.
+_MAX_PIECES = 16
+
+
+def _frame_plan(sizes: Sequence[int]) -> dict[int, int]:
+    """For each frame length the length of its pieces; a length that is its own piece is computed
+    directly. Ordered so that pieces come before the frames made of them."""
+    plan: dict[int, int] = {}
+    for n in sorted(set(sizes)):
+        made = [p for p in plan if n % p == 0 and n // p <= _MAX_PIECES]
+        if made:
+            plan[n] = max(made)
+            continue
+        piece = _divisor(n)
+        if n // piece > _MAX_PIECES:
+            piece = n
+        plan.setdefault(piece, piece)
+        plan[n] = piece
+    return plan
+
+
+def _direct(frame: WindowSpec, trend: bool) -> Column:
+    """Moments of a frame: count, mean, sum of squared deviations, extremes; with ``trend`` those of
+    the row numbers and the cross moment too."""
+    value = F.col("value")
+    count = F.count(value).over(frame)
+    fields = [
+        count.alias("n"),
+        F.avg(value).over(frame).alias("mean"),
+        (F.var_pop(value).over(frame) * count).alias("m2"),
+        F.min(value).over(frame).alias("min"),
+        F.max(value).over(frame).alias("max"),
+    ]
+    if trend:
+        at = F.when(value.isNotNull(), F.col("pos").cast("double"))
+        fields += [
+            F.avg(at).over(frame).alias("at"),
+            (F.var_pop(at).over(frame) * count).alias("at2"),
+            (F.covar_pop(value, at).over(frame) * count).alias("cross"),
+        ]
+    return F.struct(*fields)
+
+
+def _sum(terms: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0.0)) for t in terms])
+
+
+def _joined(df: DataFrame, pieces: Sequence[str], name: str, trend: bool) -> DataFrame:
+    """Moments of a frame from those of its pieces (columns ``pieces``; absent pieces are null).
+
+    Deviations between piece means are taken around the joint mean, so nothing cancels.
+    """
+    part = [F.col(p) for p in pieces]
+    counts = [F.coalesce(p["n"], F.lit(0)) for p in part]
+    total = reduce(lambda a, b: a + b, counts)
+
+    def mean_of(field: str) -> Column:
+        origin = F.coalesce(*[p[field] for p in part])
+        shift = _sum([n * (p[field] - origin) for n, p in zip(counts, part)])
+        return F.when(total > 0, origin + shift / total)
+
+    means = df.withColumns(
+        {f"_{name}_n": total, f"_{name}_mean": mean_of("mean")}
+        | ({f"_{name}_at": mean_of("at")} if trend else {})
+    )
+    centre = {f: F.col(f"_{name}_{f}") for f in ("mean", *(("at",) if trend else ()))}
+
+    def spread(within: str, a: str, b: str) -> Column:
+        between = [n * (p[a] - centre[a]) * (p[b] - centre[b]) for n, p in zip(counts, part)]
+        return _sum([p[within] for p in part]) + _sum(between)
+
+    fields = [
+        F.col(f"_{name}_n").alias("n"),
+        centre["mean"].alias("mean"),
+        spread("m2", "mean", "mean").alias("m2"),
+        F.least(*[p["min"] for p in part]).alias("min"),
+        F.greatest(*[p["max"] for p in part]).alias("max"),
+    ]
+    if trend:
+        fields += [
+            centre["at"].alias("at"),
+            spread("at2", "at", "at").alias("at2"),
+            spread("cross", "mean", "at").alias("cross"),
+        ]
+    helpers = [f"_{name}_n", *[f"_{name}_{f}" for f in centre]]
+    return means.withColumn(name, F.struct(*fields)).drop(*helpers)
+
+
+def _with_moments(df: DataFrame, order: WindowSpec, sizes: Sequence[int], trend: bool) -> DataFrame:
+    """Add a struct ``_f{n}`` of moments per frame length."""
+    plan = _frame_plan(sizes)
+    direct = {
+        f"_f{n}": _direct(order.rowsBetween(-(n - 1), 0), trend) for n, p in plan.items() if n == p
+    }
+    df = df.withColumns(direct)
+    for n, piece in plan.items():
+        if n == piece:
+            continue
+        lagged = {
+            f"_p{k}": F.lag(f"_f{piece}", k * piece).over(order) for k in range(1, n // piece)
+        }
+        df = df.withColumns(lagged)
+        df = _joined(df, [f"_f{piece}", *lagged], f"_f{n}", trend).drop(*lagged)
+    return df.drop(*[f"_f{n}" for n in plan if n not in sizes])
+
+
+def _stat(stat: str, size: int, window: int, rate_hz: float, order: WindowSpec) -> Column:
+    value, frame = F.col("value"), F.col(f"_f{size}")
+    zero = F.lit(0.0)
+    if stat in ("mean", "min", "max"):
+        return frame[stat]
     if stat == "std":
-        return F.coalesce(F.stddev_samp(value).over(frame), F.lit(0.0))
-    if stat == "min":
-        return F.min(value).over(frame)
-    if stat == "max":
-        return F.max(value).over(frame)
+        return F.when(frame["n"] > 1, F.sqrt(frame["m2"] / (frame["n"] - 1))).otherwise(zero)
     if stat == "last":
         return value
     if stat == "delta":
-        return F.coalesce(value - F.lag(value).over(order), F.lit(0.0))
-    return None
-
-
-def _end_point_slope(value: Column, frame: WindowSpec, window: int) -> Column:
-    if window <= 0:
-        return F.lit(0.0)
-    return F.when(
-        F.count(value).over(frame) >= 2, (value - F.first(value).over(frame)) / F.lit(float(window))
-    ).otherwise(F.lit(0.0))
+        return F.coalesce(value - F.lag(value).over(order), zero)
+    if stat == "slope_ep":
+        if window <= 0:
+            return zero
+        start = F.first("value").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        oldest = F.when(F.col("pos") >= size - 1, F.lag(value, size - 1).over(order)).otherwise(start)
+        return F.when(frame["n"] >= 2, (value - oldest) / F.lit(float(window))).otherwise(zero)
+    if stat == "trend":
+        fitted = frame["cross"] / frame["at2"] * F.lit(rate_hz / 1000.0)
+        return F.when(frame["n"] >= 2, fitted).otherwise(zero)
+    raise ValueError(f"unknown statistic {stat}")
+
+
+def _window_features(
+    telemetry: DataFrame,
+    sizes: dict[int, int],
+    stats: dict[str, str],
+    rate_hz: float,
+    limits: Limits,
+) -> DataFrame:
+    """``sizes`` maps window names to row counts, ``stats`` output names to definitions."""
+    for definition in stats.values():
+        if definition not in _KNOWN:
+            raise ValueError(f"unknown statistic {definition}")
+    rows = list(sizes.values())
+    seq = chunks(telemetry, SERIES_KEY, ["ts_unix_ns"], max(1, *(n - 1 for n in rows)), limits)
+    df = _with_moments(seq.rows, seq.window, rows, "trend" in stats.values())
+    columns = {
+        f"{name}_w{window}": _stat(definition, size, window, rate_hz, seq.window)
+        for window, size in sizes.items()
+        for name, definition in stats.items()
+    }
+    df = df.withColumns(columns).drop("pos", *[f"_f{n}" for n in set(rows)])
+    return seq.owned(df)
 
 
-def _trend_slope(value: Column, frame: WindowSpec, rate_hz: float) -> Column:
-    fitted = F.regr_slope(value, F.col("pos").cast("double")).over(frame)
-    return F.when(F.count(value).over(frame) >= 2, fitted * F.lit(rate_hz / 1000.0)).otherwise(
-        F.lit(0.0)
-    )
+_KNOWN = ("mean", "std", "min", "max", "last", "delta", "slope_ep", "trend")
 
 
 def online_features(
@@ -59,22 +195,8 @@ def online_features(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """One row per sample with ``{stat}_w{N}`` columns; ``slope`` joins the end points of a frame."""
-    seq = chunks(telemetry, SERIES_KEY, ["ts_unix_ns"], max(1, *(w - 1 for w in windows)), limits)
-    value, columns = F.col("value"), {}
-    for window in windows:
-        frame = seq.window.rowsBetween(-(window - 1), 0)
-        for stat in stats:
-            column = _common(value, frame, seq.window, stat)
-            if column is None:
-                if stat != "slope":
-                    raise ValueError(f"unknown statistic {stat}")
-                column = _end_point_slope(value, frame, window)
-            columns[f"{stat}_w{window}"] = column
-    return seq.owned(seq.rows.withColumns(columns)).drop("pos")
-
-
-def window_samples(window_ms: int, rate_hz: int) -> int:
-    return int(window_ms * rate_hz / 1000)
+    definitions = {s: "slope_ep" if s == "slope" else s for s in stats}
+    return _window_features(telemetry, {w: w for w in windows}, definitions, 1000.0, limits)
 
 
 def offline_features(
@@ -90,21 +212,8 @@ def offline_features(
     """
     clean = telemetry.withColumn("value", missing_as_null("value"))
     sizes = {ms: max(1, window_samples(ms, rate_hz)) for ms in windows_ms}
-    seq = chunks(clean, SERIES_KEY, ["ts_unix_ns"], max(1, *(n - 1 for n in sizes.values())), limits)
-    value, columns = F.col("value"), {}
-    for ms, size in sizes.items():
-        frame = seq.window.rowsBetween(-(size - 1), 0)
-        for stat in stats:
-            column = _common(value, frame, seq.window, stat)
-            if column is None:
-                if stat == "slope":
-                    column = _trend_slope(value, frame, float(rate_hz))
-                elif stat == "slope_ep":
-                    column = _end_point_slope(value, frame, ms)
-                else:
-                    raise ValueError(f"unknown statistic {stat}")
-            columns[f"{stat}_w{ms}"] = column
-    return seq.owned(seq.rows.withColumns(columns)).drop("pos")
+    definitions = {s: "trend" if s == "slope" else s for s in stats}
+    return _window_features(clean, sizes, definitions, float(rate_hz), limits)
 
 
 def per_window(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -15,29 +15,42 @@ from shotstream.schema import SERIES_KEY
 WINDOW = 1000
 MIN_SAMPLES = 10
 EPS = 1e-9
-_BATCH = 2048
 
 
-def trailing_windows(values: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Frames that end at each row: growing ones first, then blocks of full ones."""
-    for end in range(1, min(size, len(values) + 1)):
-        yield end - 1, end, values[None, :end]
-    if len(values) >= size:
-        full = np.lib.stride_tricks.sliding_window_view(values, size)
-        for start in range(0, len(full), _BATCH):
-            block = full[start : start + _BATCH]
-            yield size - 1 + start, size - 1 + start + len(block), block
+def _nth_deviation(ordered: list[float], centre: float, k: int) -> float:
+    """The k-th smallest distance to ``centre``. The k nearest values are neighbours in sorted
+    order, so the widest reach of k neighbours is minimised by a binary search for their start."""
+    low, high = 0, len(ordered) - k
+    while low < high:
+        middle = (low + high) // 2
+        if centre - ordered[middle] > ordered[middle + k] - centre:
+            low = middle + 1
+        else:
+            high = middle
+    return max(centre - ordered[low], ordered[low + k - 1] - centre)
 
 
 def robust_scores(values: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Scores of one series. The frame is kept sorted, so both medians cost O(log size) per row."""
     out = np.zeros(len(values))
-    for first, last, block in trailing_windows(values, size):
-        if block.shape[1] < MIN_SAMPLES:
+    samples, ordered = values.tolist(), []
+    for i, value in enumerate(samples):
+        if i >= size:
+            del ordered[bisect_left(ordered, samples[i - size])]
+        insort(ordered, value)
+        n = len(ordered)
+        if n < MIN_SAMPLES:
             continue
-        median = np.median(block, axis=1)
-        mad = np.median(np.abs(block - median[:, None]), axis=1)
-        score = np.abs(block[:, -1] - median) / (mad + EPS)
-        out[first:last] = np.where(mad > 0, score, 0.0)
+        half = n // 2
+        if n % 2:
+            median = ordered[half]
+            mad = _nth_deviation(ordered, median, half + 1)
+        else:
+            median = (ordered[half - 1] + ordered[half]) / 2.0
+            lower = _nth_deviation(ordered, median, half)
+            mad = (lower + _nth_deviation(ordered, median, half + 1)) / 2.0
+        if mad > 0:
+            out[i] = abs(value - median) / (mad + EPS)
     return out
 
 
@@ -46,8 +59,8 @@ def anomaly(
 ) -> DataFrame:
     """Add ``anomaly``: 0 below ten samples or when the deviation is 0.
 
-    Medians of sliding frames have no incremental form in SQL; numpy works on one chunk at a time,
-    whose length ``limits`` bounds.
+    Medians of sliding frames have no incremental form in SQL, so Python works on one chunk at a
+    time, whose length ``limits`` bounds.
     """
     clean = telemetry.select(*SERIES_KEY, "ts_unix_ns", missing_as_null("value").alias("value"))
     seq = chunks(clean.filter("value is not null"), SERIES_KEY, ["ts_unix_ns"], size - 1, limits)
