@@ -197,6 +197,10 @@ def running_max_before(
     )
 
 
+# A dimension row is a key and a few numbers, some 100 bytes, so this keeps a broadcast under 50 MB.
+BROADCAST_ROWS = 400_000
+
+
 def dimension_join(
     facts: DataFrame,
     dimension: DataFrame,
@@ -204,12 +208,15 @@ def dimension_join(
     spread: Sequence[str],
     how: str = "left",
     salts: int = 32,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join facts to a table with one row per key, spreading a hot key over ``salts`` partitions.
+    """Join facts to a narrow table with one row per key.
 
-    No broadcast is forced: adaptive execution broadcasts the dimension when its measured size is
-    under the session's threshold and otherwise shuffles on (key, salt).
+    The rows of the dimension are counted first. Few enough are broadcast, which leaves the facts
+    where they are; more are joined by shuffle with a hot key spread over ``salts`` partitions.
     """
+    if dimension.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return facts.join(F.broadcast(dimension), [*on], how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

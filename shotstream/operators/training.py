@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -55,12 +56,16 @@ def training_table(
 ROWS_PER_TASK = 20_000
 
 
-def _assembled(df: DataFrame, names: Sequence[str], label: str) -> tuple[DataFrame, int]:
+@contextmanager
+def _assembled(df: DataFrame, names: Sequence[str], label: str) -> Iterator[tuple[DataFrame, int]]:
     """Feature vectors and labels, cached for the passes of a solver, and their number."""
     vectors = VectorAssembler(inputCols=list(names), outputCol="_x").transform(df)
     wanted = vectors.select("_x", F.col(label).cast("double").alias("_y")).persist()
-    rows = wanted.count()
-    return wanted.coalesce(max(1, rows // ROWS_PER_TASK)), rows
+    try:
+        rows = wanted.count()
+        yield wanted.coalesce(max(1, rows // ROWS_PER_TASK)), rows
+    finally:
+        wanted.unpersist()
 
 
 def fit_logistic(
@@ -76,16 +81,16 @@ def fit_logistic(
     The intercept is not penalised, which is the one difference to a solver that treats it as a
     feature.
     """
-    data, rows = _assembled(df, names, label)
-    fitted = LogisticRegression(
-        featuresCol="_x",
-        labelCol="_y",
-        regParam=1.0 / max(1, rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=tol,
-    ).fit(data)
+    with _assembled(df, names, label) as (data, rows):
+        fitted = LogisticRegression(
+            featuresCol="_x",
+            labelCol="_y",
+            regParam=1.0 / max(1, rows),
+            elasticNetParam=0.0,
+            standardization=False,
+            maxIter=max_iter,
+            tol=tol,
+        ).fit(data)
     weights = [float(w) for w in fitted.coefficients]
     return LinearModel(dict(zip(names, weights)), float(fitted.intercept), version)
 
@@ -98,10 +103,11 @@ def fit_gbt(
     if spark.sparkContext.getCheckpointDir() is None:
         # Boosting cuts its growing lineage here.
         spark.sparkContext.setCheckpointDir(work_dir(spark, "boosting"))
-    data, _ = _assembled(df, names, label)
-    return GBTClassifier(
+    boosting = GBTClassifier(
         featuresCol="_x", labelCol="_y", maxIter=iterations, seed=seed, checkpointInterval=10
-    ).fit(data)
+    )
+    with _assembled(df, names, label) as (data, _):
+        return boosting.fit(data)
 
 
 def gbt_scores(model, df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -226,4 +232,8 @@ def train(table: DataFrame, names: Sequence[str], config: TrainConfig = TrainCon
             metrics = evaluate.evaluate(tested)
             sinks.write_report(evaluate.training_report(metrics, info), f"{path}/report")
     union = reduce(lambda a, b: a.unionByName(b), evaluated)
-    return evaluate.evaluate(union, by=["horizon_ms", "model"])
+    metrics = evaluate.evaluate(union, by=["horizon_ms", "model"])
+    # One row per horizon; computed here so that the cached feature table can be released.
+    result = spark.createDataFrame(metrics.collect(), metrics.schema)
+    data.unpersist()
+    return result

@@ -65,9 +65,12 @@ def test_running_max_excludes_the_row_itself(df, limits):
     pd.testing.assert_series_equal(got["m"], want["m"])
 
 
-def test_dimension_join_keeps_every_fact_once(spark, df):
+@pytest.mark.parametrize("broadcast_rows", [100, 1])
+def test_dimension_join_keeps_every_fact_once(spark, df, broadcast_rows):
     dim = spark.createDataFrame([("hot", 1), ("b", 2)], "shot_id string, tag int")
-    joined = sq.dimension_join(df, dim, ["shot_id"], ["ts_unix_ns"])
+    joined = sq.dimension_join(df, dim, ["shot_id"], ["ts_unix_ns"], broadcast_rows=broadcast_rows)
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert ("_salt" in plan) == (broadcast_rows == 1)
     assert joined.count() == len(PDF)
     tags = {r.shot_id: r.tag for r in joined.select("shot_id", "tag").distinct().collect()}
     assert tags == {"hot": 1, "b": 2, "c": None, "d": None}
