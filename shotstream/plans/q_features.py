@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotstream.operators import ewm, features, ingest, labels, points, robust, spectral
+from shotstream.operators import ewm, features, ingest, labels, points, reads, robust, spectral
 from shotstream.plans import fixtures as fx
 from shotstream.plans.catalog import query, r, rounded
 from shotstream.plans.sql_views import STATS, stat_sql, wide_names, window_sql, with_views
@@ -76,8 +76,6 @@ def feature_vectors(spark, sf_dir):
     ),
 )
 def feature_series(spark, sf_dir):
-    from shotstream.operators import reads
-
     rows = features.per_window(_point_features(spark, sf_dir))
     return rounded(reads.series("features", rows))
 
