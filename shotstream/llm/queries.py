@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotstream.llm import decontamination, line_rules, sharding
+from shotstream.llm import context_tree, decontamination, line_rules, sharding
 from shotstream.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+@_register
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the context tree, and the word baseline."""
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
