@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotstream.llm import context_tree, decontamination, line_rules, sharding
+from shotstream.llm import context_tree, decontamination, html_content, language, line_rules, pieces, sharding, token_counts
 from shotstream.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,32 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under the context tree, and the word baseline."""
     return context_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.predict_language(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op9_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_content.extract_text(table(spark, sf_dir, "pages"))
+
+
+@_register
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and the digest of what they decode to."""
+    return pieces.encode_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "ids", "n_pieces", "n_byte_pieces", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5")
+    )
+
+
+@_register
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after e-mail addresses and long numbers are replaced."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_recounted",
+        F.md5(F.col("edited_text").cast("binary")).alias("edited_md5"),
+    )
