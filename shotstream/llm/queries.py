@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotstream.llm import context_tree, decontamination, html_content, language, line_rules, pieces, sharding, token_counts
+from shotstream.llm import context_tree, decontamination, html_content, language, licenses, line_rules, pieces, sharding, token_counts
 from shotstream.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_recounted",
         F.md5(F.col("edited_text").cast("binary")).alias("edited_md5"),
     )
+
+
+@_register
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice in every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))

@@ -25,7 +25,7 @@ from shotstream.llm.common import batched_texts, map_batches
 
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the cutting pattern the vocabulary was made with.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REACH = 3
 REMEMBERED = 400_000
 
