@@ -185,7 +185,7 @@ def contaminated(
     index = stored(add_fingerprints(items.drop("lead"), ["item_id", "n", "k", "m"], largest), "index")
     masks = F.array(*[F.lit(mask) for mask in _near_masks()])
     index = index.select(
-        "item_id", "n", "k", "m", F.col("fingerprint").alias("item_print"), _counted(F.col("hashes")).alias("item_counted"),
+        "item_id", "n", "k", "m", F.col("fingerprint").alias("item_print"),
         F.posexplode(F.array(*[_block(F.col("fingerprint"), i) for i in range(BLOCKS)])).alias("block", "own"),
     ).select("*", F.explode(masks).alias("flip"))
     index = index.withColumn("value", F.col("own").bitwiseXOR(F.col("flip"))).drop("own", "flip")
@@ -193,7 +193,8 @@ def contaminated(
         "*",
         F.posexplode(F.array(*[_block(F.col("fingerprint"), i) for i in range(BLOCKS)])).alias("block", "value"),
     )
-    near = probes.join(index, ["k", "m", "block", "value"]).filter(
+    # The planner sees the stored items, not the 296 index rows of each: no broadcast by that estimate.
+    near = probes.join(index.hint("merge"), ["k", "m", "block", "value"]).filter(
         F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS
     )
     # A pair met in several blocks is kept in the first of them only.
@@ -202,6 +203,8 @@ def contaminated(
         *[F.when(F.bit_count(_block(differs, i)) <= RADIUS // BLOCKS, F.lit(i)) for i in range(BLOCKS)]
     )
     near = near.filter(F.col("block") == first)
+    counted = items.select("item_id", _counted(F.col("hashes")).alias("item_counted"))
+    near = near.join(counted.hint("merge"), "item_id")
     overlap = F.size(F.array_intersect(_counted(F.col("hashes")), F.col("item_counted")))
     scored = near.select(
         "doc_id", "item_id", "n", "start", (overlap / (2 * F.col("m") - overlap)).alias("similarity")
