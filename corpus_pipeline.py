@@ -1,4 +1,8 @@
-"""The corpus pipeline: language ID, quality rules, near-dedup, decontamination, piece encoding."""
+"""The corpus pipeline: language ID, quality rules, near-dedup, decontamination, piece encoding.
+
+Stages take and return documents; the last one returns their pieces. Each works on all that its
+predecessor kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +10,51 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shotstream.llm.common import stored, table
 from shotstream.llm.decontamination import decontaminate
+from shotstream.llm.language import keep_known
 from shotstream.llm.line_rules import clean_documents
+from shotstream.llm.near_duplicates import deduplicate
+from shotstream.llm.pieces import encode_documents
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; ``lang`` is the predicted one."""
+    return keep_known(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line rules, without their failing lines."""
+    """Documents that pass the rules, without their failing lines."""
     return clean_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return deduplicate(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality", quality), ("decontamination", decontamination)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and the text they decode to."""
+    return encode_documents(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pieces", pieces),
+]
 
-# Models, similarity and piece search cannot be put in SQL; tests/llm holds the stages against brute force.
+# Models, samples and piece search have no SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet and read again by the next."""
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

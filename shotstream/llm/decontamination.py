@@ -104,7 +104,7 @@ def _near_masks() -> list[int]:
 
 
 def benchmark_items(benchmark: DataFrame, similarity: float) -> DataFrame:
-    """item_id, n (words), k (shingle words), m (shingles), lead, hashes. Items without words are left out."""
+    """item, item_id, n (words), k (shingle words), m (shingles), lead, hashes. Items without words are left out."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     short = [F.when(F.size("words") == k, shingle_hashes(F.col("words"), k)) for k in range(1, SHINGLE)]
     items = items.select(
@@ -113,6 +113,8 @@ def benchmark_items(benchmark: DataFrame, similarity: float) -> DataFrame:
         F.least(F.size("words"), F.lit(SHINGLE)).alias("k"),
         F.coalesce(*short, shingle_hashes(F.col("words"), SHINGLE)).alias("hashes"),
     )
+    # Rows are told apart by id and text: ids may repeat or be null, equal rows count once.
+    items = items.withColumn("item", F.xxhash64("item_id", "hashes", "n")).dropDuplicates(["item"])
     m = F.size("hashes")
     need = F.ceil(m * (2 * similarity / (1 + similarity)) - 1e-9)
     return items.withColumn("m", m).withColumn("lead", (m - need + 1).cast("int"))
@@ -124,11 +126,11 @@ def _candidate_windows(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     hashed = hashed.select("doc_id", shingle_hashes(F.col("words"), k).alias("all"))
     leads = items.select(
         F.explode(F.array_distinct(F.slice("hashes", 1, F.col("lead")))).alias("h"),
-        "m", "lead", F.col("hashes").alias("item"),
+        "m", "lead", F.col("hashes").alias("whole"),
     )
-    leads = leads.withColumn("item_lead", F.slice("item", 1, F.col("lead")))
+    leads = leads.withColumn("whole_lead", F.slice("whole", 1, F.col("lead")))
     # A lookup table: one entry per shingle, with all items that have it.
-    leads = leads.groupBy("h").agg(F.collect_list(F.struct("m", "lead", "item", "item_lead")).alias("of"))
+    leads = leads.groupBy("h").agg(F.collect_list(F.struct("m", "lead", "whole", "whole_lead")).alias("of"))
     # The outer form keeps the planner from filtering on the size of the array below the projection,
     # which would hash every text once more per word. Rows without a shingle do not join.
     at = hashed.select("doc_id", "all", F.posexplode_outer("all").alias("pos", "h"))
@@ -146,8 +148,8 @@ def _candidate_windows(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     window = F.slice("region", F.col("start") - F.col("low") + 1, F.col("m"))
     before = F.slice("region", F.col("start") - F.col("low") + 1, F.col("pos") - F.col("start"))
     starts = starts.filter(
-        F.arrays_overlap(F.slice("region", F.col("start") - F.col("low") + 1, F.col("lead")), F.col("item"))
-        & ~F.arrays_overlap(before, F.col("item_lead"))  # an earlier hit has made this window
+        F.arrays_overlap(F.slice("region", F.col("start") - F.col("low") + 1, F.col("lead")), F.col("whole"))
+        & ~F.arrays_overlap(before, F.col("whole_lead"))  # an earlier hit has made this window
     )
     return starts.select("doc_id", F.lit(k).alias("k"), "m", "start", window.alias("hashes"))
 
@@ -178,14 +180,14 @@ def contaminated(
         # Blocks of items whose shingles, in all, have a known bound.
         blocks = max(1, math.ceil(row["total"] / sent))
         for block in range(blocks):
-            part = of_k if blocks == 1 else of_k.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+            part = of_k if blocks == 1 else of_k.filter(F.pmod("item", F.lit(blocks)) == block)
             parts.append(_candidate_windows(docs, part, row["k"]))
     windows = reduce(DataFrame.unionByName, parts)
     windows = stored(add_fingerprints(windows, ["doc_id", "k", "m", "start"], largest), "windows")
-    index = stored(add_fingerprints(items.drop("lead"), ["item_id", "n", "k", "m"], largest), "index")
+    index = stored(add_fingerprints(items.drop("lead"), ["item", "item_id", "n", "k", "m"], largest), "index")
     masks = F.array(*[F.lit(mask) for mask in _near_masks()])
     index = index.select(
-        "item_id", "n", "k", "m", F.col("fingerprint").alias("item_print"),
+        "item", "item_id", "n", "k", "m", F.col("fingerprint").alias("item_print"),
         F.posexplode(F.array(*[_block(F.col("fingerprint"), i) for i in range(BLOCKS)])).alias("block", "own"),
     ).select("*", F.explode(masks).alias("flip"))
     index = index.withColumn("value", F.col("own").bitwiseXOR(F.col("flip"))).drop("own", "flip")
@@ -203,8 +205,8 @@ def contaminated(
         *[F.when(F.bit_count(_block(differs, i)) <= RADIUS // BLOCKS, F.lit(i)) for i in range(BLOCKS)]
     )
     near = near.filter(F.col("block") == first)
-    counted = items.select("item_id", _counted(F.col("hashes")).alias("item_counted"))
-    near = near.join(counted.hint("merge"), "item_id")
+    counted = items.select("item", _counted(F.col("hashes")).alias("item_counted"))
+    near = near.join(counted.hint("merge"), "item")
     overlap = F.size(F.array_intersect(_counted(F.col("hashes")), F.col("item_counted")))
     scored = near.select(
         "doc_id", "item_id", "n", "start", (overlap / (2 * F.col("m") - overlap)).alias("similarity")

@@ -118,7 +118,10 @@ def _fails(line: Column) -> Column:
 
 def clean_documents(docs: DataFrame, min_words: int = 50, max_loss: float = 0.5) -> DataFrame:
     """The kept documents with their failing lines removed, in the columns of ``docs``."""
-    kept = line_verdicts(docs, min_words, max_loss).filter("kept")
+    # The row number holds the filter above the measures; pushed below them it would measure again, and
+    # split the text once more for every word.
+    verdicts = line_verdicts(docs, min_words, max_loss).withColumn("__row", F.monotonically_increasing_id())
+    kept = verdicts.filter(F.col("kept") & (F.col("__row") >= 0))
     return kept.select(
         *[
             F.col("clean_text").alias(c)

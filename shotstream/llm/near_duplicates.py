@@ -232,14 +232,9 @@ def _pairs(members: DataFrame, hubs: DataFrame, when: Column) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class).
-
-    Classes are the connected components of pairs with a similarity of ``least`` or more; equal texts
-    share a class. Null counts as the empty text; texts without a word are similar to equal ones only.
-    Repeated rows are documents of one class; a class of null ids has a null class_id. Other columns are
-    ignored. An empty table gives no rows.
-    """
+def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every document, and (node, low, class_id, stays) of every distinct text: its least
+    id, the least id of its class, and whether it is the text that stands for the class."""
     rows = docs.select("doc_id", "text", node_of().alias("node"))
     context = docs.sparkSession.sparkContext
     weights = context.broadcast(Weights(frequent_shingles(rows)))
@@ -297,9 +292,36 @@ def duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     lowest = signed.groupBy("node").agg(F.min("doc_id").alias("low"))
     lowest = lowest.join(groups, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = stored(lowest, "nodes")
-    tops = lowest.groupBy("root").agg(F.min("low").alias("class_id"))
-    classes = stored(lowest.join(tops, "root").select("node", "class_id"), "classes")
-    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id")
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("first")
+    tops = lowest.groupBy("root").agg(first)
+    classes = lowest.join(tops, "root").select(
+        "node", "low", F.col("first.low").alias("class_id"), (F.col("node") == F.col("first.node")).alias("stays")
+    )
+    return signed.select("doc_id", "node"), stored(classes, "classes")
+
+
+def duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class).
+
+    Classes are the connected components of pairs with a similarity of ``least`` or more; equal texts
+    share a class. Null counts as the empty text; texts without a word are similar to equal ones only.
+    Repeated rows are documents of one class; a class of null ids has a null class_id. Other columns are
+    ignored. An empty table gives no rows.
+    """
+    documents, classes = _classes(docs, least)
+    return documents.join(classes, "node").select("doc_id", "class_id")
+
+
+def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One document of each class, unchanged: the one with the least id, of rows repeated with id and text
+    one. Null ids come last."""
+    documents, classes = _classes(docs, least)
+    stays = classes.filter("stays").select(F.col("node").alias("__stays"), F.col("low").alias("__low"))
+    rows = docs.withColumn("__node", node_of())
+    kept = rows.join(stays, (F.col("__node") == F.col("__stays")) & F.col("doc_id").eqNullSafe(F.col("__low")), "left_semi")
+    # Only if rows repeat is there a need to move the texts once more.
+    again = documents.groupBy("doc_id", "node").count().filter("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "__node"]) if again else kept).drop("__node")
 
 
 def _open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -327,10 +349,3 @@ def _next_pairs(placed: DataFrame, number: int) -> DataFrame:
         "band", "value", F.col("low.node").alias("hub"), F.col("low.samples").alias("hub_samples"), F.col("low.root").alias("hub_root")
     )
     return pairs.union(_pairs(large, hubs, other)).distinct()
-
-
-def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document of each class, the one with the least id (rows repeated with that id once)."""
-    stays = duplicate_classes(docs, least).select(F.col("class_id").alias("__stays")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
