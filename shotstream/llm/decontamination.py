@@ -183,7 +183,9 @@ def contaminated(
             part = of_k if blocks == 1 else of_k.filter(F.pmod("item", F.lit(blocks)) == block)
             parts.append(_candidate_windows(docs, part, row["k"]))
     windows = reduce(DataFrame.unionByName, parts)
-    windows = stored(add_fingerprints(windows, ["doc_id", "k", "m", "start"], largest), "windows")
+    # Windows met twice, as those of repeated documents, must not be added up: each has a number.
+    windows = windows.withColumn("row", F.monotonically_increasing_id())
+    windows = stored(add_fingerprints(windows, ["doc_id", "k", "m", "start", "row"], largest), "windows")
     index = stored(add_fingerprints(items.drop("lead"), ["item", "item_id", "n", "k", "m"], largest), "index")
     masks = F.array(*[F.lit(mask) for mask in _near_masks()])
     index = index.select(
