@@ -97,5 +97,25 @@ def severity(risk: Column, thresholds: Thresholds = Thresholds()) -> Column:
     return F.when(risk >= F.lit(thresholds.high), "high").otherwise("medium")
 
 
+def three_decimals(value: Column) -> Column:
+    """A number from 0 up as text with three decimals, rounded by its exact binary value, ties to even.
+
+    Formatting in Java starts from the shortest decimal text of a double, so it rounds 0.9345, which is
+    a little less than that, up. ``value * 2**60`` is a whole number for doubles from 2**-7 up, and what
+    smaller ones lose is far below a half of a thousandth; a thousandth of that scale divides exactly.
+    """
+    unit = F.lit(str(1 << 60)).cast("decimal(38,0)")
+    whole = F.floor(value).cast("bigint")
+    scaled = ((value - whole) * F.lit(float(1 << 60))).cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
+    digits = F.floor(scaled / unit).cast("bigint")
+    rest = scaled - digits.cast("decimal(4,0)") * unit
+    half = F.lit(str(1 << 59)).cast("decimal(38,0)")
+    up = (rest > half) | ((rest == half) & (digits % 2 == 1))
+    digits = digits + F.when(up, 1).otherwise(0)
+    whole = whole + F.when(digits == 1000, 1).otherwise(0)
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((digits % 1000).cast("string"), 3, "0"))
+
+
 def alert_message(horizon: Column, risk: Column) -> Column:
-    return F.format_string("High disruption risk (%s=%.3f)", horizon, risk)
+    # Fixed value: the wording of an alert.
+    return F.concat(F.lit("High disruption risk ("), horizon, F.lit("="), three_decimals(risk), F.lit(")"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shotstream.functions.validity import missing_as_null
 from shotstream.operators.ewm import ewm_zscore
 from shotstream.operators.robust import anomaly
-from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, chunks
+from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, chunks, with_position
 from shotstream.schema import SERIES_KEY, WINDOWS
 
 # Statistic names that become part of feature names.
@@ -34,25 +34,37 @@ def _divisor(n: int) -> int:
 
 # A frame is re-aggregated for every row, so its cost grows with its length. Longer frames are
 # therefore joined from shorter ones that lie end to end: the piece that ends at this row, the piece
-# that ended one length earlier, and so on. 200 rows become four lagged results of 50, and 50 rows
-# five of 10.
+# that ended one length earlier, and so on, and pieces from pieces in turn. 200 rows become four lagged
+# results of 50, and 50 rows five of 10; 5000 rows cost some 50 terms in all.
 _MAX_PIECES = 16
 
 
-def _frame_plan(sizes: Sequence[int]) -> dict[int, int]:
-    """For each frame length the length of its pieces; a length that is its own piece is computed
-    directly. Ordered so that pieces come before the frames made of them."""
-    plan: dict[int, int] = {}
+def _pieces(n: int, known: Sequence[int]) -> list[tuple[int, int]]:
+    """(length, rows back) of the pieces of a frame; empty for one that is computed directly."""
+    if n <= _MAX_PIECES:
+        return []
+    made = [p for p in known if n % p == 0 and 1 < n // p <= _MAX_PIECES]
+    piece = max(made, default=_divisor(n))
+    if piece == n or n // piece > _MAX_PIECES:
+        piece = -(-n // _MAX_PIECES)
+    whole, rest = divmod(n, piece)
+    return [(piece, k * piece) for k in range(whole)] + ([(rest, whole * piece)] if rest else [])
+
+
+def _frame_plan(sizes: Sequence[int]) -> dict[int, list[tuple[int, int]]]:
+    """The pieces of each frame length, pieces before the frames made of them."""
+    plan: dict[int, list[tuple[int, int]]] = {}
+
+    def add(n: int) -> None:
+        if n in plan:
+            return
+        pieces = _pieces(n, list(plan))
+        for length, _ in pieces:
+            add(length)
+        plan[n] = pieces
+
     for n in sorted(set(sizes)):
-        made = [p for p in plan if n % p == 0 and n // p <= _MAX_PIECES]
-        if made:
-            plan[n] = max(made)
-            continue
-        piece = _divisor(n)
-        if n // piece > _MAX_PIECES:
-            piece = n
-        plan.setdefault(piece, piece)
-        plan[n] = piece
+        add(n)
     return plan
 
 
@@ -127,17 +139,17 @@ def _with_moments(df: DataFrame, order: WindowSpec, sizes: Sequence[int], trend:
     """Add a struct ``_f{n}`` of moments per frame length."""
     plan = _frame_plan(sizes)
     direct = {
-        f"_f{n}": _direct(order.rowsBetween(-(n - 1), 0), trend) for n, p in plan.items() if n == p
+        f"_f{n}": _direct(order.rowsBetween(-(n - 1), 0), trend) for n, p in plan.items() if not p
     }
     df = df.withColumns(direct)
-    for n, piece in plan.items():
-        if n == piece:
+    for n, pieces in plan.items():
+        if not pieces:
             continue
         lagged = {
-            f"_p{k}": F.lag(f"_f{piece}", k * piece).over(order) for k in range(1, n // piece)
+            f"_p{back}": F.lag(f"_f{length}", back).over(order) for length, back in pieces if back
         }
         df = df.withColumns(lagged)
-        df = _joined(df, [f"_f{piece}", *lagged], f"_f{n}", trend).drop(*lagged)
+        df = _joined(df, [f"_f{pieces[0][0]}", *lagged], f"_f{n}", trend).drop(*lagged)
     return df.drop(*[f"_f{n}" for n in plan if n not in sizes])
 
 
@@ -238,18 +250,6 @@ def per_window(
     ).select("shot_id", "ts_unix_ns", "channel_name", *keep, "_w.*")
 
 
-def _entries(window: int, stats: Sequence[str]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.concat(F.col("channel_name"), F.lit(f"_{s}_w{window}")).alias("key"),
-                F.col(f"{s}_w{window}").alias("value"),
-            )
-            for s in stats
-        ]
-    )
-
-
 def feature_vectors(
     features: DataFrame,
     windows: Sequence[int] = WINDOWS,
@@ -258,29 +258,44 @@ def feature_vectors(
 ) -> DataFrame:
     """One vector per point and window (or per point) as a map, with ``missing_ratio``.
 
-    ``features`` carries a ``missing_ratio`` column from the point. A point holds each channel once,
-    so the lists collected here are bounded by the channel limit enforced at ingest.
+    ``features`` carries a ``missing_ratio`` column from the point. Of samples that repeat a channel at
+    one time a single one counts, the one with the greatest values. Rows of a channel are combined before
+    the shuffle, so repeated samples cost one row per task.
     """
-    collected = [
-        F.flatten(F.collect_list(_entries(w, stats))).alias(f"_e{w}") for w in windows
-    ]
-    points = features.groupBy("shot_id", "ts_unix_ns").agg(
-        F.max("missing_ratio").alias("missing_ratio"), *collected
+    columns = [f"{s}_w{w}" for w in windows for s in stats]
+    row = F.struct(*columns)
+    channels = features.groupBy("shot_id", "ts_unix_ns", "channel_name").agg(
+        F.max("missing_ratio").alias("missing_ratio"), F.max(row).alias("_row")
     )
-    ratio = F.array(
-        F.struct(F.lit("missing_ratio").alias("key"), F.col("missing_ratio").alias("value"))
+    # Now a point holds each channel once; their number is limited at ingest.
+    points = channels.groupBy("shot_id", "ts_unix_ns").agg(
+        F.max("missing_ratio").alias("missing_ratio"),
+        F.collect_list(F.struct("channel_name", "_row")).alias("_channels"),
     )
-    if merge_windows:
-        merged = F.concat(*[F.col(f"_e{w}") for w in windows], ratio)
-        return points.select(
-            "shot_id", "ts_unix_ns", "missing_ratio", F.map_from_entries(merged).alias("features")
+    ratio = F.struct(F.lit("missing_ratio").alias("key"), F.col("missing_ratio").alias("value"))
+
+    def entries(window: int) -> Column:
+        return F.flatten(
+            F.transform(
+                "_channels",
+                lambda c: F.array(
+                    *[
+                        F.struct(
+                            F.concat(c["channel_name"], F.lit(f"_{s}_w{window}")).alias("key"),
+                            c["_row"][f"{s}_w{window}"].alias("value"),
+                        )
+                        for s in stats
+                    ]
+                ),
+            )
         )
+
+    if merge_windows:
+        merged = F.map_from_entries(F.concat(*[entries(w) for w in windows], F.array(ratio)))
+        return points.select("shot_id", "ts_unix_ns", "missing_ratio", merged.alias("features"))
     vectors = F.array(
         *[
-            F.struct(
-                F.lit(w).alias("window_ms"),
-                F.map_from_entries(F.concat(F.col(f"_e{w}"), ratio)).alias("features"),
-            )
+            F.struct(F.lit(w).alias("window_ms"), F.map_from_entries(F.concat(entries(w), F.array(ratio))).alias("features"))
             for w in windows
         ]
     )
@@ -295,12 +310,16 @@ def all_features(
     rate_hz: int = 1000,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Window statistics, EMA z-score and robust anomaly of every sample."""
-    key = [*SERIES_KEY, "ts_unix_ns"]
-    base = offline_features(telemetry, windows_ms, rate_hz, limits=limits)
-    scores = ewm_zscore(telemetry, limits=limits).select(*key, "zscore")
-    odd = anomaly(telemetry, limits=limits).select(*key, "anomaly")
-    return base.join(scores, key, "left").join(odd, key, "left")
+    """Window statistics, EMA z-score and robust anomaly of every sample.
+
+    Each sample gets a number of its own, so samples that repeat a key stay as many as they are.
+    """
+    numbered = with_position(telemetry, SERIES_KEY, ["ts_unix_ns", "value"], limits).withColumnRenamed("pos", "_at")
+    key = [*SERIES_KEY, "_at"]
+    base = offline_features(numbered, windows_ms, rate_hz, limits=limits)
+    scores = ewm_zscore(numbered, limits=limits).select(*key, "zscore")
+    odd = anomaly(numbered, limits=limits, keep=("_at",)).select(*key, "anomaly")
+    return base.join(scores, key, "left").join(odd, key, "left").drop("_at")
 
 
 def pivot_features(

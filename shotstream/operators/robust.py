@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -55,14 +56,15 @@ def robust_scores(values: np.ndarray, size: int = WINDOW) -> np.ndarray:
 
 
 def anomaly(
-    telemetry: DataFrame, size: int = WINDOW, limits: Limits = DEFAULT_LIMITS
+    telemetry: DataFrame, size: int = WINDOW, limits: Limits = DEFAULT_LIMITS, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``anomaly``: 0 below ten samples or when the deviation is 0.
+    """Add ``anomaly``: 0 below ten samples or when the deviation is 0. ``keep`` names further columns
+    to carry along.
 
     Medians of sliding frames have no incremental form in SQL, so Python works on one chunk at a
     time, whose length ``limits`` bounds.
     """
-    clean = telemetry.select(*SERIES_KEY, "ts_unix_ns", missing_as_null("value").alias("value"))
+    clean = telemetry.select(*SERIES_KEY, "ts_unix_ns", *keep, missing_as_null("value").alias("value"))
     seq = chunks(clean.filter("value is not null"), SERIES_KEY, ["ts_unix_ns"], size - 1, limits)
     rows = seq.rows if seq.chunked else seq.rows.drop("pos")
     own = seq.chunked
@@ -70,10 +72,11 @@ def anomaly(
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_unix_ns", kind="stable")
         scores = robust_scores(pdf["value"].to_numpy(), size)
-        out = pdf[["shot_id", "channel_name", "ts_unix_ns", "value"]].assign(anomaly=scores)
+        out = pdf[["shot_id", "channel_name", "ts_unix_ns", *keep, "value"]].assign(anomaly=scores)
         return out[pdf["_own"].to_numpy()] if own else out
 
+    kept = "".join(f", `{n}` {telemetry.schema[n].dataType.simpleString()}" for n in keep)
     return rows.groupBy(*seq.parts).applyInPandas(
         score,
-        "shot_id string, channel_name string, ts_unix_ns bigint, value double, anomaly double",
+        f"shot_id string, channel_name string, ts_unix_ns bigint{kept}, value double, anomaly double",
     )

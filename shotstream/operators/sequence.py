@@ -5,8 +5,8 @@ wrong when one shot holds a large part of the data, so every ordered operator co
 
 * the row count of the largest key is measured (one scalar, read from the key columns only);
 * keys that fit keep the plain window, which costs one shuffle;
-* otherwise rows get their position in the key from time slices (counts per slice, prefix sum over
-  the slice table, row number inside a slice), and work is cut into chunks of equal row count. A
+* otherwise rows get their position in the key from slices of about equal row count (counts per slice,
+  prefix sum over the slice table, row number inside a slice), and work is cut into chunks. A
   bounded look-back is served by copying the last rows of a chunk into the next one; an unbounded
   look-back by carrying one summary row per slice.
 """
@@ -15,10 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from shotstream.session import work_dir
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -37,24 +40,28 @@ def largest_key_fits(df: DataFrame, keys: Sequence[str], limits: Limits) -> bool
     return (largest or 0) <= limits.key_rows
 
 
-def _slice_width(df: DataFrame, keys: Sequence[str], ts: str, rows: int) -> DataFrame:
-    """One row: the slice width at which the densest key has about ``rows`` rows per slice."""
-    span = F.max(ts) - F.min(ts)
-    width = (span * (F.lit(float(rows)) / F.count(F.lit(1)))).cast("bigint") + 1
-    return df.groupBy(*keys).agg(width.alias("_width")).agg(F.min("_width").alias("_width"))
-
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], limits: Limits) -> DataFrame:
+    """Add ``_key`` and ``_slice``: each key's rows in order, cut into slices of about ``slice_rows``.
 
-def _sliced(df: DataFrame, keys: Sequence[str], ts: str, limits: Limits) -> DataFrame:
-    # The broadcast side is a global aggregate, so it is one row whatever the input size.
-    width = F.broadcast(_slice_width(df, keys, ts, limits.slice_rows))
+    Slices are the partitions of a range repartitioning by key and order. Its edges are quantiles of the
+    rows, so bursts, sparse keys and null order values (which come first, as in a plain window) make no
+    slice larger. A hash of the row is the last sort key: even equal order values are spread. The result
+    is stored, because its edges come from a sample and must not be drawn twice.
+    """
+    parts = max(1, -(-df.count() // limits.slice_rows))
+    # Maps cannot be hashed; rows that differ in a map only are spread no further.
+    plain = [F.col(f"`{n}`") for n, t in df.dtypes if "map<" not in t]
+    ranged = df.repartitionByRange(parts, *keys, *order, F.xxhash64(*plain))
+    path = work_dir(df.sparkSession, "slices")
+    ranged.withColumn("_slice", F.spark_partition_id()).write.parquet(path)
     # Two structs with null fields are equal, two nulls are not: joining on a struct of the keys
     # keeps rows whose key is null.
-    return (
-        df.crossJoin(width)
-        .withColumn("_slice", F.expr(f"`{ts}` div _width"))
-        .withColumn("_key", F.struct(*keys))
-        .drop("_width")
-    )
+    stored = df.sparkSession.read.schema(f"{_ddl(df)}, _slice int").parquet(path)
+    return stored.withColumn("_key", F.struct(*keys))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 _SLICE = ("_key", "_slice")
@@ -65,7 +72,7 @@ def _before(*parts: str) -> WindowSpec:
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], limits: Limits) -> DataFrame:
-    sliced = _sliced(df, keys, order[0], limits)
+    sliced = _sliced(df, keys, order, limits)
     offsets = (
         sliced.groupBy(*_SLICE)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -82,7 +89,8 @@ def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], limits: Li
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
-    """Add ``pos``, the 0-based row number of each row in its key. ``order[0]`` must be an integer."""
+    """Add ``pos``, the 0-based row number of each row in its key. Rows equal in ``order`` come in any
+    order among themselves; state an order that tells rows apart where that matters."""
     if largest_key_fits(df, keys, limits):
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumn("pos", number.cast("bigint") - 1)
@@ -144,7 +152,7 @@ def carry_forward(
     if largest_key_fits(df, keys, limits):
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
         return df.withColumns({n: F.last(n, ignorenulls=True).over(window) for n in values})
-    sliced = _sliced(df, keys, order[0], limits)
+    sliced = _sliced(df, keys, order, limits)
     latest = [
         F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*order))).alias(f"_carry_{n}")
         for n in values
@@ -183,7 +191,7 @@ def running_max_before(
     if largest_key_fits(df, keys, limits):
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*earlier)
         return df.withColumn(name, F.max(column).over(window))
-    sliced = _sliced(df, keys, order[0], limits)
+    sliced = _sliced(df, keys, order, limits)
     carries = (
         sliced.groupBy(*_SLICE)
         .agg(F.max(column).alias("_carry"))
@@ -197,8 +205,9 @@ def running_max_before(
     )
 
 
-# A dimension row is a key and a few numbers, some 100 bytes, so this keeps a broadcast under 50 MB.
+# A dimension is broadcast up to so many rows and bytes.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 64 << 20
 
 
 def dimension_join(
@@ -212,10 +221,14 @@ def dimension_join(
 ) -> DataFrame:
     """Join facts to a narrow table with one row per key.
 
-    The rows of the dimension are counted first. Few enough are broadcast, which leaves the facts
-    where they are; more are joined by shuffle with a hot key spread over ``salts`` partitions.
+    The rows of the dimension and the bytes of its texts are counted first. Few enough are broadcast,
+    which leaves the facts where they are; more are joined by shuffle with a hot key spread over
+    ``salts`` partitions. Both ways give the same rows.
     """
-    if dimension.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    texts = [F.coalesce(F.octet_length(n), F.lit(0)) for n, t in dimension.dtypes if t in ("string", "binary")]
+    width = reduce(lambda a, b: a + b, texts, F.lit(24 + 16 * len(dimension.columns)))
+    seen = dimension.limit(broadcast_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if seen[0] <= broadcast_rows and seen[1] <= BROADCAST_BYTES:
         return facts.join(F.broadcast(dimension), [*on], how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotstream.functions.validity import missing_as_null
 from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, chunks, dimension_join
 from shotstream.schema import SERIES_KEY
 
@@ -33,7 +34,9 @@ def trailing_windows(values: np.ndarray, size: int) -> Iterator[tuple[int, int,
 
 
 def _with_frame(telemetry: DataFrame) -> DataFrame:
-    """Add ``frame``, the number of samples the features of a series look at."""
+    """Samples that are not missing, with ``frame``, the number of samples the features of a series look
+    at. Both features leave missing samples out, so they see the same ones."""
+    telemetry = telemetry.withColumn("value", missing_as_null("value")).filter("value IS NOT NULL")
     sizes = telemetry.groupBy(*SERIES_KEY).agg(
         F.least(F.lit(MAX_WINDOW), F.expr("count(1) div 10")).cast("int").alias("frame")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, with_position
+from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, dimension_join, with_position
 
 
 def shot_bucket(seed: int = 42, buckets: int = 1000) -> Column:
@@ -46,11 +46,11 @@ def stratified_split(
     order = F.shiftrightunsigned(F.xxhash64(*row_key), 1) if hashed is None else hashed
     ranked = df.withColumn("_h", order)
     ranked = with_position(ranked, [label], ["_h", *row_key], limits)
-    # One row per label value.
+    # One row per label value; label values may be many.
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     quota = F.floor(F.col("_n") * F.lit(float(test)) + 0.5)
     return (
-        ranked.join(F.broadcast(sizes), label)
+        dimension_join(ranked, sizes, [label], row_key, "inner")
         .withColumn("split", F.when(F.col("pos") < quota, "test").otherwise("train"))
         .drop("_h", "_n", "pos")
     )

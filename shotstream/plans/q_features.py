@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shotstream.operators import ewm, features, ingest, labels, points, reads, robust, spectral
 from shotstream.plans import fixtures as fx
-from shotstream.plans.catalog import query, r, rounded
+from shotstream.plans.catalog import ORACLES, query, r, rounded
 from shotstream.plans.sql_views import STATS, stat_sql, wide_names, window_sql, with_views
 
 
@@ -146,6 +146,19 @@ def anomaly_mad(spark, sf_dir):
     return rounded(made.select("shot_id", "ts_unix_ns", "channel_name", "anomaly"))
 
 
+@query(
+    "all_features",
+    f"SELECT * FROM ({ORACLES['offline_features']}) JOIN (SELECT shot_id, ts_unix_ns, channel_name, zscore"
+    f" FROM ({ORACLES['ewm_zscore']})) USING (shot_id, ts_unix_ns, channel_name) JOIN ({ORACLES['anomaly_mad']})"
+    " USING (shot_id, ts_unix_ns, channel_name)",
+)
+def all_features(spark, sf_dir):
+    made = features.all_features(fx.telemetry(spark, sf_dir))
+    return rounded(
+        made.select("shot_id", "ts_unix_ns", "channel_name", *fx.stat_columns(), "zscore", "anomaly")
+    )
+
+
 _FRAMED = (
     "(SELECT *, least(1000, n // 10) AS frame FROM (SELECT *, count(*) OVER (PARTITION BY shot_id) AS n,"
     " row_number() OVER (PARTITION BY shot_id ORDER BY ts_unix_ns) AS i FROM sup))"
@@ -170,20 +183,28 @@ def spectral_energy(spark, sf_dir):
     return rounded(made.select("shot_id", "ts_unix_ns", "frame", "energy"))
 
 
-# A plain discrete Fourier transform: each frame against each of its frequencies.
+# A discrete Fourier transform: for full frames by sums over a window per frequency (the power does not
+# depend on where the phase starts), for the growing frames at the start of a series term by term.
 @query(
     "dominant_freq",
     with_views(
         "sup",
-        f"""SELECT f.shot_id, f.ts_unix_ns, {r('coalesce(best * 1000.0 / p.n, 0.0)')} AS dominant_freq
+        f"""SELECT f.shot_id, f.ts_unix_ns, {r('coalesce(best * 1000.0 / f.c, 0.0)')} AS dominant_freq
         FROM f LEFT JOIN (
-          SELECT shot_id, i, any_value(n) AS n, arg_max(k, (round(power, 4), -k)) AS best FROM (
-            SELECT a.shot_id, a.i, a.c AS n, k,
+          SELECT shot_id, i, arg_max(k, (round(power, 4), -k)) AS best FROM (
+            SELECT * FROM (
+              SELECT shot_id, i, k, frame, pow(sum(value * cos(2 * pi() * k * i / frame)) OVER w, 2)
+                + pow(sum(value * sin(2 * pi() * k * i / frame)) OVER w, 2) AS power
+              FROM (SELECT *, unnest(range(1, frame // 2 + 1)) AS k FROM f WHERE frame >= 32)
+              WINDOW w AS (PARTITION BY shot_id, k ORDER BY i ROWS BETWEEN greatest(frame - 1, 0) PRECEDING AND CURRENT ROW))
+            WHERE i >= frame
+            UNION ALL
+            SELECT a.shot_id, a.i, k, any_value(a.frame),
               pow(sum(b.value * cos(2 * pi() * k * (b.i - a.i) / a.c)), 2)
               + pow(sum(b.value * sin(2 * pi() * k * (b.i - a.i) / a.c)), 2) AS power
-            FROM (SELECT *, unnest(range(1, c // 2 + 1)) AS k FROM f WHERE frame >= 32 AND c >= 32) a
+            FROM (SELECT *, unnest(range(1, c // 2 + 1)) AS k FROM f WHERE frame >= 32 AND c >= 32 AND i < frame) a
             JOIN f b ON a.shot_id = b.shot_id AND b.i BETWEEN a.i - a.c + 1 AND a.i
-            GROUP BY 1, 2, 3, 4) GROUP BY 1, 2) p USING (shot_id, i)""",
+            GROUP BY 1, 2, 3) GROUP BY 1, 2) p USING (shot_id, i)""",
     ).replace(
         " SELECT f.shot_id",
         f", f AS (SELECT *, least(i, frame) AS c FROM {_FRAMED}) SELECT f.shot_id",

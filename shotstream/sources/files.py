@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Callable, Sequence
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,17 +40,53 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header. The first line of every file is found in one distributed scan; what
+    reaches the driver is one name per file, as the listing of the path does anyway."""
+    listed = spark.read.text(path)
+    if len(listed.inputFiles()) <= 1:
+        return {tuple(csv_header(spark, path)): [path]}
+    lines = listed.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("line"),
+    ).filter("at = 0 AND trim(value) <> ''")
+    heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    layouts = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head")
+    return {tuple(next(csv.reader([row["head"].lstrip("\ufeff")]))): row["files"] for row in layouts.collect()}
+
+
+def _read_by_name(
+    spark: SparkSession,
+    path: str,
+    schema_of: Callable[[Sequence[str]], T.StructType],
+    finish: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
+    """Files of every header read with their own columns, finished, and united by name."""
+    frames = []
+    for header, files in csv_layouts(spark, path).items():
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+        frames.append(finish(reader.schema(schema_of(header)).csv(files)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Wide shot file with a header. Adds ``time_unix_ns`` from whichever time column wins."""
-    schema = schema or csv_schema(csv_header(spark, path))
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
-    time_column(df.columns)
-    return df.withColumn("time_unix_ns", unix_ns(df.columns))
+    """Wide shot files with headers; columns go by name, their order and set may differ between files.
+    Adds ``time_unix_ns`` from whichever time column wins. A ``schema`` gives the types of its columns."""
+    given = {f.name: f for f in schema} if schema else {}
+
+    def typed(header: Sequence[str]) -> T.StructType:
+        return T.StructType([given.get(f.name, f) for f in csv_schema(header)])
+
+    def timed(df: DataFrame) -> DataFrame:
+        time_column(df.columns)
+        return df.withColumn("time_unix_ns", unix_ns(df.columns))
+
+    return _read_by_name(spark, path, typed, timed)
 
 
 def csv_points(spark: SparkSession, path: str, shot_id: str | None = None) -> DataFrame:
-    """Wide shot file as points; cells stay text so that an unreadable one drops only its channel."""
-    df = spark.read.option("header", True).csv(path)
+    """Wide shot files as points; cells stay text so that an unreadable one drops only its channel."""
+    df = _read_by_name(spark, path, lambda header: T.StructType([T.StructField(n, T.StringType()) for n in header]))
     return wide_to_points(df, shot_id)
 
 

@@ -2,60 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotstream.functions.risk import Calibration, LinearModel
 from shotstream.operators.upsert import merge
+from shotstream.session import work_dir
 
 SHOT_BUCKETS = 64
+_LAYOUT = "_layout"  # readers of the folder skip names with an underscore
 
 
-def write_series(df: DataFrame, path: str, mode: str = "overwrite", buckets: int = SHOT_BUCKETS) -> None:
-    """Parquet by hashed shot bucket, sorted by time inside a file for min/max skipping.
+def _bucket(buckets: int, shot_id: Column | None = None) -> Column:
+    return F.pmod(F.xxhash64(F.col("shot_id") if shot_id is None else shot_id), F.lit(buckets)).cast("int")
 
-    Rows are spread by (bucket, time slice) before the sort, so a hot shot is written by many tasks.
-    """
-    bucket = F.pmod(F.xxhash64("shot_id"), F.lit(buckets)).cast("int")
+
+def stored_buckets(spark: SparkSession, path: str) -> int:
+    """The number of buckets a stored series was written with; it is kept beside the data."""
+    return spark.read.parquet(f"{path}/{_LAYOUT}").first()["buckets"]
+
+
+def _write(df: DataFrame, path: str, buckets: int, mode: str) -> None:
     (
-        df.withColumn("shot_bucket", bucket)
+        df.withColumn("shot_bucket", _bucket(buckets))
         .repartitionByRange("shot_bucket", "shot_id", "ts_unix_ns")
         .sortWithinPartitions("shot_bucket", "shot_id", "ts_unix_ns")
-        .write.mode(mode)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", mode)
         .partitionBy("shot_bucket")
         .parquet(path)
     )
 
 
-def read_series(spark: SparkSession, path: str, shot_id: str | None = None, buckets: int = SHOT_BUCKETS) -> DataFrame:
+def write_series(df: DataFrame, path: str, buckets: int = SHOT_BUCKETS) -> None:
+    """Parquet by hashed shot bucket, sorted by time inside a file for min/max skipping.
+
+    Rows are spread by (bucket, time slice) before the sort, so a hot shot is written by many tasks.
+    """
+    _write(df, path, buckets, "static")
+    df.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/{_LAYOUT}"
+    )
+
+
+def read_series(spark: SparkSession, path: str, shot_id: str | None = None) -> DataFrame:
     """Read a stored series; with a shot id only its bucket's files are listed."""
     df = spark.read.parquet(path)
     if shot_id is not None:
-        bucket = F.pmod(F.xxhash64(F.lit(shot_id)), F.lit(buckets)).cast("int")
+        bucket = _bucket(stored_buckets(spark, path), F.lit(shot_id))
         df = df.filter((F.col("shot_bucket") == bucket) & (F.col("shot_id") == shot_id))
     return df.drop("shot_bucket")
 
 
-def upsert_series(
-    spark: SparkSession, path: str, incoming: DataFrame, keys, arrival, new_path: str
-) -> DataFrame:
-    """Write the merge of a stored table and newer rows to ``new_path``; replaying it is harmless.
+def upsert_series(spark: SparkSession, path: str, incoming: DataFrame, keys, arrival) -> DataFrame:
+    """Merge newer rows into a stored series, last write wins; replaying them is harmless.
 
-    Only buckets the new rows touch are merged, the others are carried over unread-by-key.
+    Only the buckets that the new rows touch are read and written; the files of the others stay. The
+    merged buckets are staged in the shared folder before they replace the old ones.
     """
+    buckets = stored_buckets(spark, path)
     stored = spark.read.parquet(path)
-    bucket = F.pmod(F.xxhash64("shot_id"), F.lit(SHOT_BUCKETS)).cast("int")
-    # At most SHOT_BUCKETS rows.
-    touched = F.broadcast(incoming.select(bucket.alias("shot_bucket")).distinct())
-    affected = stored.join(touched, "shot_bucket", "left_semi").drop("shot_bucket")
-    untouched = stored.join(touched, "shot_bucket", "left_anti").drop("shot_bucket")
-    merged = merge(affected, incoming, keys, arrival)
-    write_series(untouched.unionByName(merged), new_path)
-    return read_series(spark, new_path)
+    # At most one row per bucket.
+    touched = [row[0] for row in incoming.select(_bucket(buckets)).distinct().collect()]
+    affected = stored.filter(F.col("shot_bucket").isin(touched)).drop("shot_bucket")
+    merged = merge(affected, incoming, keys, arrival).select(*[c for c in stored.columns if c != "shot_bucket"])
+    stage = work_dir(spark, "merge")
+    merged.write.parquet(stage)
+    if touched:
+        _write(spark.read.schema(merged.schema).parquet(stage), path, buckets, "dynamic")
+    return read_series(spark, path)
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
+    """Append the events whose ``event_id`` is not stored yet, once each; a replay adds nothing."""
+    spark = events.sparkSession
+    fresh = events.dropDuplicates(["event_id"])
+    if path_exists(spark, path):
+        fresh = fresh.join(spark.read.parquet(path).select("event_id"), "event_id", "left_anti")
+    # Staged first: an append must not read the folder it writes to.
+    stage = work_dir(spark, "events")
+    fresh.select(*events.columns).write.parquet(stage)
+    spark.read.schema(events.schema).parquet(stage).write.mode("append").parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def artifact_path(root: str, env: str, horizon: int, version: str) -> str:

@@ -83,19 +83,45 @@ def test_last_write_wins(spark):
     assert [(r.value, r.quality) for r in got] == [(2.0, "outlier")]
 
 
-def test_upsert_twice_is_the_same_table(spark, tmp_path):
+@pytest.mark.parametrize("buckets", [3, 64])
+def test_upsert_touches_its_buckets_only(spark, tmp_path, buckets):
     old = [(f"s{i}", t, "ip", 1.0, "good", 0) for i in range(20) for t in range(5)]
-    new = [("s3", 2, "ip", 7.0, "good", 1), ("s3", 2, "ip", 8.0, "good", 2), ("s99", 1, "ip", 5.0, "good", 1)]
-    stored = upsert.telemetry_upsert(spark.createDataFrame(old, SAMPLES), ["arrival"])
-    sinks.write_series(stored, str(tmp_path / "v1"))
+    new = [("s3", 2, "ip", 7.0, "good", 1), ("s3", 2, "ip", 8.0, "good", 2)]
+    path = tmp_path / "t"
+    sinks.write_series(upsert.telemetry_upsert(spark.createDataFrame(old, SAMPLES), ["arrival"]), str(path), buckets)
+    before = {p.name for p in path.rglob("shot_bucket=*/*.parquet")}
     incoming = spark.createDataFrame(new, SAMPLES)
-    key = upsert.SAMPLE_KEY
-    one = sinks.upsert_series(spark, str(tmp_path / "v1"), incoming, key, ["arrival"], str(tmp_path / "v2"))
-    two = sinks.upsert_series(spark, str(tmp_path / "v2"), incoming, key, ["arrival"], str(tmp_path / "v3"))
-    first, second = sorted(map(tuple, one.collect())), sorted(map(tuple, two.collect()))
-    assert first == second and len(first) == 101
-    shot = sinks.read_series(spark, str(tmp_path / "v3"), "s3")
+    first = sorted(map(tuple, sinks.upsert_series(spark, str(path), incoming, upsert.SAMPLE_KEY, ["arrival"]).collect()))
+    after = {p.name for p in path.rglob("shot_bucket=*/*.parquet")}
+    shot = sinks.read_series(spark, str(path), "s3")
     assert {r.ts_unix_ns: r.value for r in shot.collect()} == {0: 1.0, 1: 1.0, 2: 8.0, 3: 1.0, 4: 1.0}
+    changed = {p.parent.name for p in path.rglob("shot_bucket=*/*.parquet") if p.name not in before}
+    assert len(changed) == 1 and len(before & after) > 0
+    second = sorted(map(tuple, sinks.upsert_series(spark, str(path), incoming, upsert.SAMPLE_KEY, ["arrival"]).collect()))
+    assert first == second and len(first) == 100
+    added = spark.createDataFrame([("s99", 1, "ip", 5.0, "good", 1)], SAMPLES)
+    assert sinks.upsert_series(spark, str(path), added, upsert.SAMPLE_KEY, ["arrival"]).count() == 101
+    assert sinks.upsert_series(spark, str(path), added.limit(0), upsert.SAMPLE_KEY, ["arrival"]).count() == 101
+
+
+def test_stored_arrival_decides(spark, tmp_path):
+    rows = [("s", 1, "ip", 1.0, "good", 5)]
+    made = upsert.latest_by_key(spark.createDataFrame(rows, SAMPLES), upsert.SAMPLE_KEY, ["arrival"], keep_arrival=True)
+    sinks.write_series(made, str(tmp_path / "t"))
+    late = spark.createDataFrame([("s", 1, "ip", 2.0, "good", 3)], SAMPLES)
+    assert sinks.upsert_series(spark, str(tmp_path / "t"), late, upsert.SAMPLE_KEY, ["arrival"]).first().value == 1.0
+
+
+def test_csv_files_load_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("shot_id,time_ms,ip,ne\na,1,1.5,2.5\n")
+    (tmp_path / "b.csv").write_text("ne,shot_id,ip,time_ms\n4.5,b,3.5,1\n")
+    (tmp_path / "c.csv").write_text("time_ms,shot_id,\"dwdt\"\n1,c,9\n")
+    got = {r.shot_id: (r.ip, r.ne, r.dwdt) for r in files.load(spark, str(tmp_path / "*.csv"), "csv").collect()}
+    assert got == {"a": (1.5, 2.5, None), "b": (3.5, 4.5, None), "c": (None, None, 9.0)}
+    made = files.csv_points(spark, str(tmp_path / "*.csv")).collect()
+    assert {(r.shot_id, c.name, c.value) for r in made for c in r.channels} == {
+        ("a", "ip", 1.5), ("a", "ne", 2.5), ("b", "ip", 3.5), ("b", "ne", 4.5), ("c", "dwdt", 9.0)
+    }
 
 
 def test_read_of_one_shot_prunes_partitions(spark, tmp_path):
@@ -107,11 +133,14 @@ def test_read_of_one_shot_prunes_partitions(spark, tmp_path):
     assert one.count() == 1
 
 
-def test_events_append(spark, tmp_path):
-    df = spark.createDataFrame([("s", 1)], "shot_id string, ts_unix_ns bigint")
-    for _ in range(2):
-        sinks.append_events(df, str(tmp_path / "e"))
-    assert spark.read.parquet(str(tmp_path / "e")).count() == 2
+def test_events_append_once(spark, tmp_path):
+    def events(*ids):
+        return spark.createDataFrame([(i, "s", 1) for i in ids], "event_id string, shot_id string, ts_unix_ns bigint")
+
+    path = str(tmp_path / "e")
+    for batch in (events("a", "b", "b"), events("a", "b"), events("b", "c")):
+        sinks.append_events(batch, path)
+    assert sorted(r.event_id for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
 
 
 def test_model_round_trip(spark, tmp_path):
