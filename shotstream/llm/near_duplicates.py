@@ -12,11 +12,13 @@ Each of 16 samples picks a shingle with the chance of its weight, consistently b
 texts agree in a sample as often as their weighted Jaccard similarity is. Eight bands of two samples
 miss a pair at 0.8 with a chance of 0.36**8 = 0.0003, and fewer above.
 
-Texts that share a band are compared, but never all pairs of a large bucket. Round 1 compares each text
-with the least of its bucket. Then groups are formed, and buckets that still hold several groups go on:
-all pairs between groups in buckets of up to SMALL texts, and each text with HUBS others in larger ones,
-other hubs in every round, until a round adds nothing. Pairs that agree in fewer than 6 of the 16
-samples are not compared: at 0.8 that has a chance of 3e-5.
+Texts that share a band are compared, but never all pairs of a large bucket. A text is the more central
+the more texts share its buckets: copies with edits of their own differ from each other more than from
+what they were made of, which shares most bands. Round 1 compares each text of a bucket with its most
+central one. Then groups are formed, and buckets that still hold several go on: all pairs between groups
+in buckets of up to SMALL texts, and each text with the most central one of each of HUBS parts in larger
+ones. So comparisons grow with the texts, whatever the size of a bucket. Pairs that agree in fewer than
+AGREE of the 16 samples are not compared: at 0.8 that has a chance of 0.0015.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from shotstream.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, ROWS = 16, 2
-AGREE = 6
+AGREE = 7
 RARE = 1 / 250
 BUCKETS = 1 << 19
 SMALL, HUBS = 32, 8
@@ -253,11 +255,10 @@ def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     )
     nodes = nodes.filter(F.size("samples") > 0)
     banded = nodes.select("node", "doc_id", "samples", F.posexplode(bands).alias("band", "value"))
-    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min(F.struct("node", "samples")).alias("low"))
-    buckets = buckets.filter("n > 1").select(
-        "band", "value", "n", F.col("low.node").alias("hub"), F.col("low.samples").alias("hub_samples")
-    )
-    members = stored(banded.join(buckets.select("band", "value", "n"), ["band", "value"]), "members")
+    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(banded.join(buckets, ["band", "value"]), "shared")
+    central = shared.groupBy("node").agg(F.sum("n").alias("centre"))
+    members = stored(shared.join(central, "node"), "members")
     # The text of every node that shares a bucket, once. The id narrows the join to one document a node.
     chosen = members.select("node", F.col("doc_id").alias("chosen")).distinct()
     texts = rows.join(
@@ -273,22 +274,14 @@ def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
             map_batches(pairs.join(x, "a").join(y, "b"), _verifying(weights, least), "a binary, b binary"), "links"
         )
 
-    hubs = members.groupBy("band", "value").agg(F.min(F.struct("node", "samples")).alias("low")).select(
-        "band", "value", F.col("low.node").alias("hub"), F.col("low.samples").alias("hub_samples")
+    hubs = members.groupBy("band", "value").agg(F.max(F.struct("centre", "node", "samples")).alias("top")).select(
+        "band", "value", F.col("top.node").alias("hub"), F.col("top.samples").alias("hub_samples")
     )
-    tried = stored(_pairs(members.drop("doc_id"), hubs, F.lit(True)), "pairs")
+    tried = stored(_pairs(members, hubs, F.lit(True)), "pairs")
     links = verified(tried)
-    number = 1
-    while True:
-        groups = components(links)
-        open_ = _open_buckets(members, groups)
-        pairs = stored(_next_pairs(open_, number).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            break
-        new = verified(pairs)
-        if not new.limit(1).count():
-            break
-        links, tried, number = links.union(new), tried.union(pairs), number + 1
+    pairs = _next_pairs(_open_buckets(members, components(links)))
+    links = links.union(verified(pairs.join(tried, ["a", "b"], "left_anti")))
+    groups = components(links)
     lowest = signed.groupBy("node").agg(F.min("doc_id").alias("low"))
     lowest = lowest.join(groups, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = stored(lowest, "nodes")
@@ -332,7 +325,7 @@ def _open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     return stored(placed.join(several.select("band", "value"), ["band", "value"]), "open")
 
 
-def _next_pairs(placed: DataFrame, number: int) -> DataFrame:
+def _next_pairs(placed: DataFrame) -> DataFrame:
     """Pairs between groups: all in small buckets; in large ones every member with some hubs."""
     other = F.col("root") != F.col("hub_root")
     small = placed.filter(F.col("n") <= SMALL)
@@ -341,11 +334,10 @@ def _next_pairs(placed: DataFrame, number: int) -> DataFrame:
     )
     pairs = _pairs(small, as_hubs, other & (F.col("node") < F.col("hub")))
     large = placed.filter(F.col("n") > SMALL)
-    order = F.xxhash64("node", F.lit(number))
-    hubs = large.groupBy("band", "value", F.pmod(order, F.lit(HUBS)).alias("part")).agg(
-        F.min(F.struct(order.alias("o"), "node", "samples", "root")).alias("low")
+    hubs = large.groupBy("band", "value", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("part")).agg(
+        F.max(F.struct("centre", "node", "samples", "root")).alias("top")
     )
     hubs = hubs.select(
-        "band", "value", F.col("low.node").alias("hub"), F.col("low.samples").alias("hub_samples"), F.col("low.root").alias("hub_root")
+        "band", "value", F.col("top.node").alias("hub"), F.col("top.samples").alias("hub_samples"), F.col("top.root").alias("hub_root")
     )
     return pairs.union(_pairs(large, hubs, other)).distinct()
