@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotstream.llm import context_tree, decontamination, html_content, language, licenses, line_rules, near_duplicates, pieces, sharding, token_counts
+from shotstream.llm import context_tree, decontamination, html_content, language, licenses, line_rules, near_duplicates, pieces, sharding, sql, token_counts
 from shotstream.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document."""
     return near_duplicates.duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_line_rules"] = sql.line_rules()
+ORACLES["op5_decontaminate"] = sql.decontamination()
+ORACLES["op6_shards"] = sql.shards()
