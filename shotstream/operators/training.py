@@ -125,7 +125,8 @@ def importances(model, names: Sequence[str]) -> list[tuple[str, float]]:
 
 
 def fit_platt(scores: DataFrame, label: str, version: str = "fitted") -> Calibration:
-    model = fit_logistic(scores, ["score"], label)
+    # Two parameters: converging to the last digits costs little.
+    model = fit_logistic(scores, ["score"], label, tol=1e-12)
     return Calibration("platt", model.coefficients["score"], model.intercept, version)
 
 
@@ -172,6 +173,16 @@ class TrainConfig:
             raise ValueError(f"calibration must be one of {', '.join(CALIBRATIONS)}")
 
 
+def _demand_all_splits(data: DataFrame, config: TrainConfig) -> None:
+    """Shots are split by their hash, so few shots can leave a part empty; better to say so than to fail
+    in a fit."""
+    present = {row[0] for row in data.select("split").distinct().collect()}
+    wanted = {"train", "test"} | ({"calibration"} if config.calibration != "none" else set())
+    missing = wanted - present
+    if missing:
+        raise ValueError(f"no shot falls into {', '.join(sorted(missing))}: give more shots or another seed")
+
+
 def train(table: DataFrame, names: Sequence[str], config: TrainConfig = TrainConfig()) -> DataFrame:
     """Fit, calibrate and evaluate one model per horizon; returns one row of metrics per horizon.
 
@@ -183,6 +194,7 @@ def train(table: DataFrame, names: Sequence[str], config: TrainConfig = TrainCon
     needed = ["shot_id", "ts_unix_ns", "time_to_disruption", "split", *names]
     needed += [f"label_h{h}" for h in config.horizons_ms]
     data = split.select(*needed).persist()
+    _demand_all_splits(data, config)
     evaluated = []
     for horizon in config.horizons_ms:
         label = f"label_h{horizon}"

@@ -19,7 +19,7 @@ from shotstream.schema import CHANNELS, feature_name
 MINUTE = 60_000_000_000
 BUCKET = 10 * MINUTE
 HOURS = (3_600_000, 14_400_000)
-MODEL_CHANNELS = ("prad", "ip", "h_alpha")
+MODEL_CHANNELS = ("prad", "ip", "h_alpha", "ne", "dwdt")
 # How the event types stand for channels.
 CHANNEL_OF = {
     "click": "ip",
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def demo_model(version: str = "demo", tilt: float = 0.0) -> LinearModel:
     """Coefficients from a rule: one weight per channel, statistic and window."""
-    channel = {"prad": 0.010, "ip": 0.007, "h_alpha": -0.004}
+    channel = {"prad": 0.010, "ip": 0.007, "h_alpha": -0.004, "ne": 0.002, "dwdt": -0.003}
     stat = {
         "mean": 1.0,
         "std": 0.31,

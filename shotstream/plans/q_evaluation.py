@@ -276,3 +276,21 @@ def latency_buckets(spark, sf_dir):
 def p95_latency(spark, sf_dir):
     buckets = monitoring.latency_buckets(_latencies(spark, sf_dir), ["channel_name"])
     return rounded(monitoring.histogram_quantile(buckets, 0.95, ["channel_name"]))
+
+
+@query(
+    "e2e_latency",
+    with_views(
+        "tel risk",
+        f"""SELECT shot_id, ts_unix_ns, {r(f"(ts_unix_ns + {fx.BUCKET} - arrived) / 1e9")} AS seconds FROM risk JOIN
+        (SELECT shot_id, ts_unix_ns // {fx.BUCKET} * {fx.BUCKET} AS ts_unix_ns, max(ts_unix_ns) AS arrived
+         FROM tel GROUP BY 1, 2) USING (shot_id, ts_unix_ns)""",
+    ),
+)
+def e2e_latency(spark, sf_dir):
+    """From the last sample of a grid cell to its risk, which is made when the cell ends."""
+    cell = F.expr(f"(ts_unix_ns div {fx.BUCKET}L) * {fx.BUCKET}L")
+    samples = fx.telemetry(spark, sf_dir)
+    arrived = samples.groupBy("shot_id", cell.alias("ts_unix_ns")).agg(F.max("ts_unix_ns").alias("arrived_unix_ns"))
+    made = fx.risks(spark, sf_dir).withColumn("created_unix_ns", F.col("ts_unix_ns") + fx.BUCKET)
+    return rounded(monitoring.end_to_end_latency(arrived, made))

@@ -116,17 +116,13 @@ def alert_events(spark, sf_dir):
         "arr risk",
         f"""SELECT event_id, a.shot_id, a.ts_unix_ns AS at_unix_ns, k.ts_unix_ns,
         {r('risk_h50')} AS risk_h50, {r('risk_h200')} AS risk_h200
-        FROM (SELECT * FROM arr WHERE quality = 'outlier') a
+        FROM arr a
         ASOF JOIN risk k ON a.shot_id = k.shot_id AND a.ts_unix_ns >= k.ts_unix_ns""",
     ),
 )
 def risk_asof(spark, sf_dir):
-    """For every outlier sample the risk that was known at its time."""
-    requests = (
-        fx.arrivals(spark, sf_dir)
-        .filter("quality = 'outlier'")
-        .select("event_id", "shot_id", F.col("ts_unix_ns").alias("at_unix_ns"))
-    )
+    """For every sample the risk that was known at its time."""
+    requests = fx.arrivals(spark, sf_dir).select("event_id", "shot_id", F.col("ts_unix_ns").alias("at_unix_ns"))
     return rounded(
         scoring.as_of(requests, fx.risks(spark, sf_dir), ["risk_h50", "risk_h200"])
     )
@@ -139,18 +135,14 @@ def risk_asof(spark, sf_dir):
         f"""SELECT event_id, q.shot_id, at_unix_ns, q.ts_unix_ns, {r('risk_h50')} AS risk_h50,
         rank, feature, {r('contribution')} AS contribution FROM (
         SELECT event_id, a.shot_id, a.ts_unix_ns AS at_unix_ns, k.ts_unix_ns, risk_h50
-        FROM (SELECT * FROM arr WHERE quality = 'missing') a
+        FROM arr a
         ASOF JOIN risk k ON a.shot_id = k.shot_id AND a.ts_unix_ns >= k.ts_unix_ns) q
         JOIN drivers d ON d.shot_id = q.shot_id AND d.ts_unix_ns = q.ts_unix_ns""",
     ),
 )
 def explain_at(spark, sf_dir):
-    """As-of risk with its drivers, for every sample marked missing."""
-    requests = (
-        fx.arrivals(spark, sf_dir)
-        .filter("quality = 'missing'")
-        .select("event_id", "shot_id", F.col("ts_unix_ns").alias("at_unix_ns"))
-    )
+    """As-of risk with its drivers, for every sample."""
+    requests = fx.arrivals(spark, sf_dir).select("event_id", "shot_id", F.col("ts_unix_ns").alias("at_unix_ns"))
     explained = scoring.full_risk_points(
         fx.vectors(spark, sf_dir), fx.demo_model(), fx.DEMO_CALIBRATION
     )

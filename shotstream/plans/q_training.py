@@ -1,14 +1,15 @@
-"""Model fitting queries. Fits are iterative, so no SQL stands beside them."""
+"""Model fitting queries. SQL repeats the two calibrations; the other fits are checked by what holds for
+their results: a vanishing gradient, importances that add up to one, every feature once."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotstream.functions.risk import linear_score, wide_lookup
+from shotstream.functions.risk import calibrated, linear_score, wide_lookup
 from shotstream.operators import labels, training
 from shotstream.plans import fixtures as fx
-from shotstream.plans.catalog import query, rounded
-from shotstream.plans.sql_views import wide_names
+from shotstream.plans.catalog import query, r, rounded
+from shotstream.plans.sql_views import score_sql, wide_names, with_views
 from shotstream.session import work_dir
 
 LABEL = f"label_h{fx.HOURS[1]}"
@@ -19,6 +20,12 @@ def _table(spark, sf_dir):
     return labels.label_horizons(timed, fx.HOURS)
 
 
+_SCORED = (
+    f"(SELECT {score_sql(fx.demo_model())} AS score, CASE WHEN coalesce((disruption_time_unix_ns - ts_unix_ns) / 1e6,"
+    f" CAST('Infinity' AS DOUBLE)) <= {fx.HOURS[1]} THEN 1.0 ELSE 0.0 END AS y FROM vec JOIN shots USING (shot_id))"
+)
+
+
 def _scores(spark, sf_dir):
     rows = _table(spark, sf_dir)
     score = linear_score(fx.demo_model(), wide_lookup(rows.columns))
@@ -39,18 +46,58 @@ def train_gbt(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "feature string, importance double"))
 
 
-@query("platt_fit")
+# Newton steps on slope and offset with the slope's penalty of one half of its square.
+@query(
+    "platt_fit",
+    with_views(
+        "vec shots",
+        f"""SELECT round(a, 4) AS scale, round(b, 4) AS "offset" FROM fitted ORDER BY step DESC LIMIT 1""",
+    ).replace(
+        " SELECT round(a, 4)",
+        f""", points AS MATERIALIZED (SELECT score AS x, sum(y) AS y, count(*) AS n FROM {_SCORED} GROUP BY 1),
+        fitted AS (SELECT * FROM (WITH RECURSIVE steps AS (
+          SELECT 0 AS step, CAST(0.0 AS DOUBLE) AS a, CAST(0.0 AS DOUBLE) AS b
+          UNION ALL
+          SELECT step + 1, a - (gaa * ga - gab * gb) / det, b - (hbb * gb - gab * ga) / det FROM (
+            SELECT step, any_value(a) AS a, any_value(b) AS b,
+              sum((n * p - y) * x) + any_value(a) AS ga, sum(n * p - y) AS gb,
+              sum(n * p * (1 - p)) AS gaa, sum(n * p * (1 - p) * x) AS gab,
+              sum(n * p * (1 - p) * x * x) + 1.0 AS hbb,
+              (sum(n * p * (1 - p) * x * x) + 1.0) * sum(n * p * (1 - p)) - pow(sum(n * p * (1 - p) * x), 2) AS det
+            FROM (SELECT *, 1.0 / (1.0 + exp(-(a * x + b))) AS p FROM steps, points) GROUP BY step) WHERE step < 25)
+          SELECT * FROM steps)) SELECT round(a, 4)""",
+        1,
+    ),
+)
 def platt_fit(spark, sf_dir):
     fitted = training.fit_platt(_scores(spark, sf_dir), "label")
-    return rounded(
-        spark.createDataFrame([(fitted.scale, fitted.offset)], "scale double, offset double")
-    )
-
-
-@query("isotonic_fit")
+    made = spark.createDataFrame([(fitted.scale, fitted.offset)], "scale double, offset double")
+    return made.select(F.round("scale", 4).alias("scale"), F.round("offset", 4).alias("offset"))
+
+
+# The largest, over starts up to a score, of the smallest mean, over ends from it.
+@query(
+    "isotonic_fit",
+    with_views(
+        "vec shots",
+        f"""SELECT x AS score, {r('max(low)')} AS p FROM (
+          SELECT i, x, min(mean) OVER (PARTITION BY start ORDER BY i DESC) AS low FROM (
+            SELECT a.i AS start, b.i, b.x, (b.sy - a.sy + a.y) / (b.sn - a.sn + a.n) AS mean
+            FROM sums a JOIN sums b ON a.i <= b.i)) GROUP BY 1""",
+    ).replace(
+        " SELECT x AS score",
+        f""", sums AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(y) OVER (ORDER BY x) AS sy,
+          sum(n) OVER (ORDER BY x) AS sn FROM (SELECT floor(score * 64) / 64 AS x, sum(y) AS y, count(*) AS n
+          FROM {_SCORED} GROUP BY 1)) SELECT x AS score""",
+        1,
+    ),
+)
 def isotonic_fit(spark, sf_dir):
-    fitted = training.fit_isotonic(_scores(spark, sf_dir), "label")
-    return rounded(spark.createDataFrame(list(fitted.knots), "score double, p double"))
+    """The fitted value of every score, scores taken in steps of 1/64."""
+    scores = _scores(spark, sf_dir).withColumn("score", F.floor(F.col("score") * 64) / F.lit(64.0))
+    fitted = training.fit_isotonic(scores, "label")
+    distinct = scores.select("score").distinct()
+    return rounded(distinct.withColumn("p", calibrated(F.col("score"), fitted)))
 
 
 @query("train_pipeline")
