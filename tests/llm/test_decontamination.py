@@ -28,6 +28,9 @@ def brute(docs, items):
             if not n:
                 continue
             want = shingles(item)
+            k = min(5, n)
+            if want.keys().isdisjoint(tuple(text[j : j + k]) for j in range(len(text) - k + 1)):
+                continue
             for s in range(len(text) - n + 1):
                 got = shingles(text[s : s + n])
                 both = sum((want & got).values())
