@@ -101,15 +101,19 @@ def three_decimals(value: Column) -> Column:
     """A number from 0 up as text with three decimals, rounded by its exact binary value, ties to even.
 
     Formatting in Java starts from the shortest decimal text of a double, so it rounds 0.9345, which is
-    a little less than that, up. ``value * 2**60`` is a whole number for doubles from 2**-7 up, and what
-    smaller ones lose is far below a half of a thousandth; a thousandth of that scale divides exactly.
+    a little less than that, up. Here ``value * 2**63`` is put together from its whole part at 2**60 and
+    three more bits; that is exact from 2**-11 up, and what is smaller is 0.000 in any case.
     """
-    unit = F.lit(str(1 << 60)).cast("decimal(38,0)")
+    unit = F.lit(str(1 << 63)).cast("decimal(38,0)")
     whole = F.floor(value).cast("bigint")
-    scaled = ((value - whole) * F.lit(float(1 << 60))).cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
+    high = (value - whole) * F.lit(float(1 << 60))
+    low = ((high - F.floor(high)) * 8).cast("bigint")
+    scaled = (high.cast("bigint").cast("decimal(20,0)") * F.lit(8).cast("decimal(1,0)") + low.cast("decimal(1,0)")) * F.lit(
+        1000
+    ).cast("decimal(4,0)")
     digits = F.floor(scaled / unit).cast("bigint")
     rest = scaled - digits.cast("decimal(4,0)") * unit
-    half = F.lit(str(1 << 59)).cast("decimal(38,0)")
+    half = F.lit(str(1 << 62)).cast("decimal(38,0)")
     up = (rest > half) | ((rest == half) & (digits % 2 == 1))
     digits = digits + F.when(up, 1).otherwise(0)
     whole = whole + F.when(digits == 1000, 1).otherwise(0)

@@ -174,3 +174,13 @@ def test_linear_shap(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     got = {r.feature: (r.mean_value, r.mean_abs_effect) for r in scoring.linear_shap(df, MODEL).collect()}
     assert got == {"a": (2.0, 2.0), "b": (5.0, 0.0)}
+
+
+def test_alert_text_rounds_the_exact_value(spark):
+    import random
+
+    random.seed(1)
+    values = [0.9345, 0.8125, 0.8135, 0.9995, 0.99951, 1.0, 0.75, 0.0005, 0.0015, 2.5, 0.0] + [random.random() for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.t for r in df.select(R.three_decimals(F.col("v")).alias("t")).collect()]
+    assert got == [f"{v:.3f}" for v in values]
