@@ -23,7 +23,7 @@ from shotstream.llm.common import batched_texts, map_batches, remainder
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 500
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -60,6 +60,11 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _small(vector: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Half the memory; the sample is held whole while it is fitted."""
+    return vector[0].astype(np.int32), vector[1].astype(np.float32)
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, n = np.zeros(BUCKETS, np.int64), 0
     for _, texts in batched_texts(batches):
@@ -79,7 +84,7 @@ def fit(
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights, intercepts and temperature. Every ``held``-th text is left for the temperature."""
     index = {c: i for i, c in enumerate(classes)}
-    vectors = [vector(letters(t), idf) for t in texts]
+    vectors = [_small(vector(letters(t), idf)) for t in texts]
     labels = [index[lang] for lang in langs]
     k = len(classes)
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
@@ -157,8 +162,9 @@ def fit_model(training: DataFrame, per_language: int = PER_LANGUAGE):
     classes = sorted(sample["lang"].unique())
     if not classes:
         return [], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0
-    texts = [text.encode() for text in sample["text"]]
-    return classes, idf, *fit(texts, list(sample["lang"]), idf, classes)
+    langs, texts = list(sample["lang"]), [text.encode() for text in sample["text"]]
+    del sample
+    return classes, idf, *fit(texts, langs, idf, classes)
 
 
 def predict_language(
