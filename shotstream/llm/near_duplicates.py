@@ -12,13 +12,15 @@ Each of 16 samples picks a shingle with the chance of its weight, consistently b
 texts agree in a sample as often as their weighted Jaccard similarity is. Eight bands of two samples
 miss a pair at 0.8 with a chance of 0.36**8 = 0.0003, and fewer above.
 
-Texts that share a band are compared, but never all pairs of a large bucket. A text is the more central
-the more texts share its buckets: copies with edits of their own differ from each other more than from
-what they were made of, which shares most bands. Round 1 compares each text of a bucket with its most
-central one. Then groups are formed, and buckets that still hold several go on: all pairs between groups
-in buckets of up to SMALL texts, and each text with the most central one of each of HUBS parts in larger
-ones. So comparisons grow with the texts, whatever the size of a bucket. Pairs that agree in fewer than
-AGREE of the 16 samples are not compared: at 0.8 that has a chance of 0.0015.
+Texts that share a band are compared. A text is the more central the more texts share its buckets: copies
+with edits of their own differ from each other more than from what they were made of, which shares most
+bands. Round 1 compares each text of a bucket with its most central one. Then groups are formed, and in
+every bucket that still holds several, all pairs of texts of different groups are compared: in buckets of
+up to SMALL texts one by one, in larger ones in blocks of about BLOCK texts. A block's shingles are made
+once and all its similarities come from sums over shared shingles, so a task has a bounded size and
+returns at most as many links as it has texts. The work in a bucket is (texts outside its largest group)
+times (texts); nothing is left out. One by one, pairs that agree in fewer than AGREE of the 16 samples are
+not compared: at 0.8 that has a chance of 3e-5. In blocks every pair is.
 """
 
 from __future__ import annotations
@@ -35,10 +37,12 @@ from shotstream.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, ROWS = 16, 2
-AGREE = 7
+AGREE = 6
 RARE = 1 / 250
 BUCKETS = 1 << 19
-SMALL, HUBS = 32, 8
+SMALL = 32
+BLOCK, BLOCK_BYTES = 512, 4 << 20  # texts of a large bucket, and their bytes, compared with as many others at a time
+COMMON = 32  # shingles in more texts of a block are summed by matrix products
 ID_BITS = 44  # of a shingle's hash; the rest of 64 bits numbers the documents of a batch
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -191,8 +195,9 @@ def _signing(handle):
             samples = pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()), pa.array(rows[counts > 0].view(np.int32).ravel(), pa.int32())
             )
+            sizes = pa.array([len(text) for text in texts], pa.int64())
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("node"), samples], names=["doc_id", "node", "samples"]
+                [batch.column("doc_id"), batch.column("node"), samples, sizes], names=["doc_id", "node", "samples", "size"]
             )
 
     return sign
@@ -222,6 +227,64 @@ def _verifying(handle, least: float):
     return verify
 
 
+def _similarities(texts: list[bytes], shingles: Shingler, weights: Weights) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of texts; 0 if neither of two has a word."""
+    ids, times, owner, _ = shingles(texts)
+    n, factor = len(texts), weights(ids, np.ones(len(ids)))
+    totals = np.bincount(owner, factor * times, minlength=n)
+    # A shingle that occurs t times is t features, so that features in both texts add up to the lesser count.
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    ids, owner, factor = np.repeat(ids, times), np.repeat(owner, times), np.repeat(factor, times)
+    order = np.lexsort((ids, nth))
+    ids, nth, owner, factor = ids[order], nth[order], owner[order], factor[order]
+    heads = np.flatnonzero((np.diff(ids, prepend=ids[:1] ^ np.uint64(1)) != 0) | (np.diff(nth, prepend=-1) != 0)) if len(ids) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(heads, len(ids)))
+    both = np.zeros(n * n)
+    for c in range(2, COMMON + 1):
+        these = heads[counts == c]
+        step = max(1, (1 << 20) // c**2)
+        for at in range(0, len(these), step):
+            part = these[at : at + step]
+            mine = owner[part[:, None] + np.arange(c)]
+            code = mine[:, :, None] * n + mine[:, None, :]
+            both += np.bincount(code.ravel(), np.repeat(factor[part], c * c), minlength=n * n)
+    both = both.reshape(n, n)
+    common = np.flatnonzero(counts > COMMON)
+    for at in range(0, len(common), 1024):
+        part = common[at : at + 1024]
+        column = np.repeat(np.arange(len(part)), counts[part])
+        row = np.arange(counts[part].sum()) - np.repeat(np.cumsum(counts[part]) - counts[part], counts[part])
+        has = np.zeros((n, len(part)))
+        has[owner[heads[part][column] + row], column] = 1
+        both += (has * factor[heads[part]]) @ has.T
+    np.fill_diagonal(both, totals)
+    return both / np.maximum(totals[:, None] + totals[None, :] - both, 1e-300)
+
+
+def _linking(handle, least: float):
+    def link(block: pa.Table) -> pa.Table:
+        """Links that join the groups of a block's texts as all pairs of 0.8 and more would."""
+        nodes = block.column("node").to_pylist()
+        _, group = np.unique(np.array([root.hex() for root in block.column("root").to_pylist()]), return_inverse=True)
+        similar = np.zeros((0, 0), bool)
+        if group.max(initial=0):
+            texts = block.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+            similar = _similarities(texts, Shingler(), handle.value) >= least - 1e-9
+        same = group[:, None] == group[None, :]
+        links, fresh = [], np.full(len(similar), True)
+        while fresh.any():
+            at = [int(np.argmax(fresh))]
+            fresh[at] = False
+            while at:
+                x = at.pop()
+                fresh[near := np.flatnonzero(fresh & (same[x] | similar[x]))] = False
+                at += near.tolist()
+                links += [sorted((nodes[x], nodes[y])) for y in near[group[near] != group[x]]]
+        return pa.table([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
+
+    return link
+
+
 def _agreeing(x: str, y: str) -> Column:
     same = F.zip_with(x, y, lambda a, b: F.when(a == b, 1).otherwise(0))
     return F.aggregate(same, F.lit(0), lambda total, one: total + one)
@@ -242,9 +305,9 @@ def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     weights = context.broadcast(Weights(frequent_shingles(rows)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = stored(
-        map_batches(rows, _signing(weights), f"doc_id {kind}, node binary, samples array<int>"), "signed"
+        map_batches(rows, _signing(weights), f"doc_id {kind}, node binary, samples array<int>, size bigint"), "signed"
     )
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("samples").alias("samples"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("samples").alias("samples"), F.first("size").alias("size"))
     bands = F.array(
         *[
             F.shiftleft(F.get("samples", i).cast("bigint"), 32).bitwiseOR(
@@ -254,7 +317,7 @@ def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
         ]
     )
     nodes = nodes.filter(F.size("samples") > 0)
-    banded = nodes.select("node", "doc_id", "samples", F.posexplode(bands).alias("band", "value"))
+    banded = nodes.select("node", "doc_id", "samples", "size", F.posexplode(bands).alias("band", "value"))
     buckets = banded.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stored(banded.join(buckets, ["band", "value"]), "shared")
     central = shared.groupBy("node").agg(F.sum("n").alias("centre"))
@@ -279,8 +342,13 @@ def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     )
     tried = stored(_pairs(members, hubs, F.lit(True)), "pairs")
     links = verified(tried)
-    pairs = _next_pairs(_open_buckets(members, components(links)))
-    links = links.union(verified(pairs.join(tried, ["a", "b"], "left_anti")))
+    open_ = _open_buckets(members, components(links))
+    links = links.union(verified(_small_pairs(open_).join(tried, ["a", "b"], "left_anti")))
+    large = open_.filter(F.col("n") > SMALL)
+    if large.limit(1).count():
+        known = texts.dropDuplicates(["node"])
+        blocks = _blocks(large).join(known, "node").groupBy("band", "value", "part")
+        links = links.union(stored(blocks.applyInArrow(_linking(weights, least), "a binary, b binary"), "links"))
     groups = components(links)
     lowest = signed.groupBy("node").agg(F.min("doc_id").alias("low"))
     lowest = lowest.join(groups, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
@@ -325,19 +393,43 @@ def _open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     return stored(placed.join(several.select("band", "value"), ["band", "value"]), "open")
 
 
-def _next_pairs(placed: DataFrame) -> DataFrame:
-    """Pairs between groups: all in small buckets; in large ones every member with some hubs."""
-    other = F.col("root") != F.col("hub_root")
+def _small_pairs(placed: DataFrame) -> DataFrame:
+    """All pairs between groups in small buckets."""
     small = placed.filter(F.col("n") <= SMALL)
     as_hubs = small.select(
         "band", "value", F.col("node").alias("hub"), F.col("samples").alias("hub_samples"), F.col("root").alias("hub_root")
     )
-    pairs = _pairs(small, as_hubs, other & (F.col("node") < F.col("hub")))
-    large = placed.filter(F.col("n") > SMALL)
-    hubs = large.groupBy("band", "value", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("part")).agg(
-        F.max(F.struct("centre", "node", "samples", "root")).alias("top")
-    )
-    hubs = hubs.select(
-        "band", "value", F.col("top.node").alias("hub"), F.col("top.samples").alias("hub_samples"), F.col("top.root").alias("hub_root")
-    )
-    return pairs.union(_pairs(large, hubs, other)).distinct()
+    return _pairs(small, as_hubs, (F.col("root") != F.col("hub_root")) & (F.col("node") < F.col("hub")))
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """(band, value, part, node, root): parts in which all pairs between groups of a bucket meet.
+
+    The bucket's largest group and the rest are cut into blocks; each block of the rest meets every other
+    block, those of the largest group do not meet each other.
+    """
+    key = ["band", "value"]
+    tops = large.groupBy(*key, "root").agg(F.count("*").alias("k")).groupBy(*key).agg(F.max(F.struct("k", "root")).alias("top"))
+    sided = large.select(*key, "node", "root", "size").join(tops.select(*key, F.col("top.root").alias("main")), key)
+    sided = sided.withColumn("rest", F.col("root") != F.col("main"))
+
+    def needed(side: Column, name: str) -> Column:
+        texts, sizes = F.sum(F.when(side, 1).otherwise(0)), F.sum(F.when(side, F.col("size")).otherwise(0))
+        return F.ceil(F.greatest(texts / BLOCK, sizes / BLOCK_BYTES)).cast("int").alias(name)
+
+    counts = sided.groupBy(*key).agg(needed(F.col("rest"), "rests"), needed(~F.col("rest"), "mains"))
+    placed = sided.join(counts, key)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int")
+    placed = placed.withColumn("own", own)
+    rests, mains = F.sequence(F.lit(0), F.col("rests") - 1), F.sequence(F.lit(0), F.col("mains") - 1)
+    parts = F.when(
+        F.col("rest"),
+        F.concat(
+            F.transform(mains, lambda j: F.array(F.lit(0), F.col("own"), j)),
+            F.transform(
+                F.filter(rests, lambda j: j != F.col("own")),
+                lambda j: F.array(F.lit(1), F.least("own", j), F.greatest("own", j)),
+            ),
+        ),
+    ).otherwise(F.transform(rests, lambda i: F.array(F.lit(0), i, F.col("own"))))
+    return placed.select(*key, "node", "root", F.explode(parts).alias("part"))

@@ -85,6 +85,24 @@ def test_one_large_group_of_edited_copies(make):
     assert all(r["class_id"] == r["doc_id"] for r in got if r["doc_id"] > 300)
 
 
+def test_edited_copies_without_their_original(make, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 64, raising=False)
+    base = prose(150)
+    texts = [" ".join(edited(base, 2)) for _ in range(300)] + [" ".join(prose(150)) for _ in range(50)]
+    got = {r["doc_id"]: r["class_id"] for r in N.duplicate_classes(make(texts)).collect()}
+    assert got == classes_by_hand(texts, range(len(texts)))
+
+
+def test_similarities_of_a_block_equal_those_of_pairs():
+    base = prose(60)
+    texts = [" ".join(edited(base, i % 7)) for i in range(50)] + ["same " * 50, "same " * 400, "one", "", "one two", " ".join(prose(30))]
+    texts = [text.encode() for text in texts]
+    shingles, weights = N.Shingler(), N.Weights({})
+    got = N._similarities(texts, shingles, weights)
+    want = [[N.similarity(x, y, shingles, weights) for y in texts] for x in texts]
+    assert np.allclose(got, want, atol=1e-12)
+
+
 def test_one_document_of_a_class_stays(make, clashing):
     base = prose(80)
     docs = clashing(make([" ".join(base), " ".join(base), " ".join(base), "x y", None, "x y"], [5, 3, 3, None, 7, None]))
