@@ -93,8 +93,18 @@ def platt_fit(spark, sf_dir):
     ),
 )
 def isotonic_fit(spark, sf_dir):
-    """The fitted value of every score, scores taken in steps of 1/64."""
-    scores = _scores(spark, sf_dir).withColumn("score", F.floor(F.col("score") * 64) / F.lit(64.0))
+    """The fitted value of every score, scores taken in steps of 1/64 as in the SQL, which is quadratic in
+    them. ``isotonic_fit_exact`` fits the scores themselves."""
+    return _isotonic(_scores(spark, sf_dir).withColumn("score", F.floor(F.col("score") * 64) / F.lit(64.0)))
+
+
+@query("isotonic_fit_exact")
+def isotonic_fit_exact(spark, sf_dir):
+    """The fitted value of every exact score."""
+    return _isotonic(_scores(spark, sf_dir))
+
+
+def _isotonic(scores):
     fitted = training.fit_isotonic(scores, "label")
     distinct = scores.select("score").distinct()
     return rounded(distinct.withColumn("p", calibrated(F.col("score"), fitted)))

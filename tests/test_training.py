@@ -113,3 +113,21 @@ def test_bad_options():
         training.TrainConfig(model="perceptron")
     with pytest.raises(ValueError):
         training.TrainConfig(calibration="beta")
+
+
+def test_registered_isotonic_fits_exact_scores(spark, monkeypatch):
+    from shotstream.plans import load_all, q_training
+    from shotstream.plans.catalog import QUERIES
+
+    load_all()
+    draw = np.random.default_rng(5)
+    scores = np.round(draw.uniform(-1, 1, 300), 3)  # several in every step of 1/64, some repeated
+    labels = (draw.uniform(-1, 1, 300) < scores).astype(float)
+    rows = spark.createDataFrame([(float(x), float(y)) for x, y in zip(scores, labels)], "score double, label double")
+    monkeypatch.setattr(q_training, "_scores", lambda spark, sf_dir: rows)
+    got = {r.score: r.p for r in QUERIES["isotonic_fit_exact"](spark, "").collect()}
+    xs = sorted(set(scores.tolist()))
+    means = {(a, b): labels[(scores >= a) & (scores <= b)].mean() for a in xs for b in xs if a <= b}
+    want = {x: max(min(means[a, b] for b in xs if b >= x) for a in xs if a <= x) for x in xs}
+    assert sorted(got) == pytest.approx(xs) and len({round(p, 6) for p in want.values()}) > 2
+    assert [got[x] for x in sorted(got)] == pytest.approx([want[x] for x in xs], abs=2e-6)
