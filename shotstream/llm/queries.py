@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotstream.llm import context_tree, decontamination, html_content, language, licenses, line_rules, near_duplicates, pieces, sharding, sql, token_counts
+from shotstream.llm import (
+    context_tree, decontamination, filter_audit, hard_negatives, html_content, language, licenses, line_dedup,
+    line_rules, near_duplicates, pieces, sharding, sql, token_counts,
+)
 from shotstream.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +92,30 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many go because a smaller id holds them, and the digest of the rest."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+@_register
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    rows = hard_negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(hard_negatives.taking_part(rows))
+
+
+@_register
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every step of every order of the five filters, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ORACLES["op3_line_rules"] = sql.line_rules()
 ORACLES["op5_decontaminate"] = sql.decontamination()
 ORACLES["op6_shards"] = sql.shards()
+ORACLES["op11_line_dedup"] = sql.line_dedup()
+ORACLES["op12_hard_negatives"] = sql.hard_negatives()
+ORACLES["op13_filter_audit"] = sql.filter_audit()

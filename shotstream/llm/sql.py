@@ -83,3 +83,76 @@ def shards() -> str:
     SELECT doc_id, slot, printf('shard-%03d', (SELECT {owners})[slot + 1]) AS shard
     FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)
       % {sharding.SLOTS} AS slot FROM documents)"""
+
+
+def line_dedup() -> str:
+    """Keys held by two ids or more, and every line judged by them."""
+    ends = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+    k AS (SELECT *, translate(trim(line, {ends}), '{upper}', '{upper.lower()}') AS key FROM l),
+    held AS (SELECT key, min(coalesce(doc_id, {2**63 - 1})) AS owner FROM k WHERE length(key) >= 10
+      GROUP BY key HAVING count(DISTINCT coalesce(doc_id, {2**63 - 1})) > 1),
+    j AS (SELECT r, k.doc_id, i, line, held.key IS NOT NULL AND owner <> coalesce(k.doc_id, {2**63 - 1}) AS lost
+      FROM k LEFT JOIN held USING (key))
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (lost) AS BIGINT) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+    FROM j GROUP BY r"""
+
+
+def hard_negatives() -> str:
+    """Every anchor against every row."""
+    return """
+    WITH e AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS row_id, a.label = e.label AS same,
+        CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+      FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 50 = 0),
+    p AS (SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5),
+    n AS (SELECT p.anchor_id, positive_id, positive_score, row_id AS negative_id, score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, row_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+        AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+    FROM n WHERE rank <= 3"""
+
+
+def filter_audit() -> str:
+    """Every order walked step by step over the masks of the documents."""
+    words = f"list_filter(regexp_split_to_array(text, {_text(WORD_SPACE)}), lambda x: x <> '')"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, {words} AS words, min(doc_id) OVER (PARTITION BY text) AS owner FROM d),
+    j AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+        + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT
+        + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > owner, false)::INT AS mask
+      FROM w LEFT JOIN j USING (doc_id)),
+    cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+    prefixes AS (SELECT '' AS prefix, 0 AS applied, 0 AS bit UNION ALL
+      SELECT prefix || letter, applied + p.bit, l.bit FROM prefixes p JOIN letters l ON (p.applied + p.bit) & l.bit = 0),
+    steps AS (SELECT part, prefix,
+        coalesce(sum(n) FILTER (mask & (applied + bit) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS removed,
+        coalesce(sum(n) FILTER (mask & applied <> 0 AND mask & bit <> 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS toxic_lost
+      FROM cells, prefixes WHERE bit > 0 GROUP BY part, prefix),
+    orders AS (SELECT prefix AS filter_order FROM prefixes WHERE length(prefix) = 5),
+    r AS (SELECT part, filter_order, length(prefix) AS step, right(prefix, 1) AS letter, kept, removed, redundant,
+        unique_fails, good_lost, toxic_lost
+      FROM orders JOIN steps ON starts_with(filter_order, prefix))
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+      CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+      CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+      CAST(toxic_lost AS BIGINT) AS toxic_lost,
+      CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+    FROM r"""
