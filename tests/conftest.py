@@ -3,9 +3,10 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+
+from series import TINY, WHOLE
 
-from shotstream.operators.sequence import Limits
 from shotstream.session import build_session
 
 
@@ -23,11 +24,6 @@ def spark():
     session.stop()
 
 
-# Budgets so small that every series is cut into slices and chunks.
-TINY = Limits(key_rows=1, slice_rows=7, chunk_rows=16)
-WHOLE = Limits()
-
-
 @pytest.fixture(params=[WHOLE, TINY], ids=["whole", "chunked"])
 def limits(request):
     return request.param

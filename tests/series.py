@@ -1,8 +1,14 @@
-"""Small literal series for the tests."""
+"""Small literal series for the tests, and row budgets."""
 
 import numpy as np
 import pandas as pd
 
+from shotstream.operators.sequence import Limits
+
+# Budgets so small that every series is cut into slices and chunks.
+TINY = Limits(key_rows=1, slice_rows=7, chunk_rows=16)
+WHOLE = Limits()
+
 
 def telemetry_pdf(lengths, seed=7, gaps=True):
     """One series per (shot, channel) with irregular times; two decimals as in the given tables."""

@@ -2,8 +2,8 @@ import json
 import random
 
 import pytest
-from conftest import TINY, WHOLE
 from pyspark.sql import functions as F
+from series import TINY, WHOLE
 
 from shotstream.functions.risk import LinearModel
 from shotstream.operators import features, ingest, points
