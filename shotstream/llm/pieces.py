@@ -5,14 +5,16 @@ that maximises the sum of piece scores; a character that no piece covers costs t
 ten and becomes its bytes' pieces. A space is the marker U+2581; one is put before the text and taken
 away in decoding. No piece has a marker behind another character (that is checked; else a text is one
 unit), so the best path of a text is that of its marked words, and each distinct word is solved once per
-task and remembered. Many words are solved at a time: all their positions walk the trie together, then
-paths grow byte by byte for all words at once.
+task and remembered up to a number of bytes. Many words are solved at a time: all their positions walk the
+trie together, then paths grow byte by byte for all words at once. A long word is solved alone, with the
+spans of a stretch of it at a time, so that memory beyond the text is some 20 bytes a byte.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -27,7 +29,9 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 500_000
+# Words longer than LONG bytes are solved alone and not remembered; others by SOLVED_BYTES at a time.
+LONG, STRETCH = 1 << 10, 1 << 15
+SLICE_BYTES, SOLVED_BYTES, REMEMBERED_BYTES = 1 << 20, 1 << 18, 24 << 20
 _RUNS = re.compile(rb" +[^ ]*|[^ ]+")
 
 
@@ -122,6 +126,17 @@ class DoubleArray:
         self.check = np.concatenate((self.check, np.full_like(self.check, -1)))
 
 
+def _character_ends(flat: np.ndarray, starts: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Where the characters that begin at ``starts`` end: before the next first byte."""
+    ends = starts + 1
+    while True:
+        inside = ends < stop
+        inside[inside] = (flat[ends[inside]] & 0xC0) == 0x80
+        if not inside.any():
+            return ends
+        ends += inside
+
+
 class Pieces:
     """Everything a worker needs, built once on the driver."""
 
@@ -145,42 +160,79 @@ class Pieces:
         ]
         self.crossing = any(re.search(rb"(?<!\xe2\x96\x81)\xe2\x96\x81", p[1:]) and not p.startswith(MARK * 2) for p, _ in usable if len(p) > 3 and MARK in p[1:])
 
-    def solve(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks in a row, and how many each has."""
+    def _spans(self, flat: np.ndarray, starts: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, id) of every piece that begins at one of the ``starts`` (characters' first bytes) and
+        ends by its ``stop``. A character without a piece of its own gets a span with id -1."""
         base, check, value = self.trie.base, self.trie.check, self.trie.value
-        sizes = np.array([len(c) for c in chunks], np.int64)
-        flat = np.frombuffer(b"".join(chunks), np.uint8)
-        # Position p of chunk i is number begins[i] + p; every chunk has one more, for its end.
-        begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-        chunk_of = np.repeat(np.arange(len(chunks)), sizes)
-        text_at = np.arange(len(flat))
-        number = text_at + chunk_of
-        stop = np.cumsum(sizes)[chunk_of]
-        first = (flat & 0xC0) != 0x80
-        char_end = np.append(np.flatnonzero(first)[1:], len(flat))
-        char_end = np.minimum(char_end, stop[first])
-        origin, at = text_at[first], text_at[first].copy()
-        limit, node = stop[first], np.zeros(first.sum(), np.int64)
-        starts, ends, ids = [], [], []
+        origin, at, limit, node = starts, starts.copy(), stop, np.zeros(len(starts), np.int64)
+        begins, ends, ids = [], [], []
         while len(origin):
             child = base[node] + flat[at] + 1
             ok = check[child] == node
             origin, at, limit, node = origin[ok], at[ok] + 1, limit[ok], child[ok]
             done = value[node] >= 0
-            starts.append(origin[done])
+            begins.append(origin[done])
             ends.append(at[done])
             ids.append(value[node[done]])
             ok = at < limit
             origin, at, limit, node = origin[ok], at[ok], limit[ok], node[ok]
-        start, end, piece = map(np.concatenate, (starts, ends, ids))
-        own_end = np.zeros(len(flat), np.int64)
-        own_end[first] = char_end
-        single = np.zeros(len(flat), bool)
-        single[start[end == own_end[start]]] = True
-        alone = np.flatnonzero(first & ~single)
-        start = np.concatenate((start, alone))
+        start, end, piece = map(np.concatenate, (begins, ends, ids))
+        own_end = _character_ends(flat, starts, stop)
+        place = np.searchsorted(starts, start)
+        single = np.zeros(len(starts), bool)
+        single[place[end == own_end[place]]] = True
+        alone = ~single
+        start = np.concatenate((start, starts[alone]))
         end = np.concatenate((end, own_end[alone]))
-        piece = np.concatenate((piece, np.full(len(alone), -1)))
+        return start, end, np.concatenate((piece, np.full(alone.sum(), -1)))
+
+    def _as_bytes(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the bytes' pieces in place of every -1, and how many each became. ``begins`` and
+        ``ends`` are where the piece lies in ``flat``."""
+        unknown = ids < 0
+        if not unknown.any() or not self.byte_id:
+            return np.where(unknown, self.unknown_id, ids).astype(np.int32), np.ones(len(ids), np.int64)
+        sizes = np.where(unknown, ends - begins, 1)
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out, spread = np.repeat(ids, sizes), np.repeat(unknown, sizes)
+        table = np.array([self.byte_id[b] for b in range(256)])
+        out[spread] = table[flat[(np.repeat(begins, sizes) + within)[spread]]]
+        return out.astype(np.int32), sizes
+
+    def solve_long(self, chunk: bytes) -> np.ndarray:
+        """Ids of one chunk. Equal paths are told apart as in ``solve``: the last piece that starts first."""
+        flat, n = np.frombuffer(chunk, np.uint8), len(chunk)
+        best, back, by = array("d", [-np.inf]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for low in range(0, n, STRETCH):
+            starts = low + np.flatnonzero((flat[low : low + STRETCH] & 0xC0) != 0x80)
+            if low == 0 and (not len(starts) or starts[0]):
+                starts = np.concatenate(([0], starts))
+            start, end, piece = self._spans(flat, starts, np.full(len(starts), n))
+            gain = np.where(piece >= 0, self.score[piece], self.unknown_score)
+            order = np.argsort(start, kind="stable")
+            for i, j, k, g in zip(start[order].tolist(), end[order].tolist(), piece[order].tolist(), gain[order].tolist()):
+                reached = best[i] + g
+                if reached > best[j]:
+                    best[j], back[j], by[j] = reached, i, k
+        cuts, ids, at = [n], array("q"), n
+        while at > 0:
+            ids.append(by[at])
+            at = back[at]
+            cuts.append(at)
+        cuts = np.array(cuts[::-1])
+        return self._as_bytes(np.array(ids)[::-1], cuts[:-1], cuts[1:], flat)[0]
+
+    def solve(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row, and how many each has."""
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        flat = np.frombuffer(b"".join(chunks), np.uint8)
+        # Position p of chunk i is number begins[i] + p; every chunk has one more, for its end.
+        begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        chunk_of = np.repeat(np.arange(len(chunks)), sizes)
+        number = np.arange(len(flat)) + chunk_of
+        starts = np.flatnonzero((flat & 0xC0) != 0x80)
+        start, end, piece = self._spans(flat, starts, np.cumsum(sizes)[chunk_of[starts]])
         gain = np.where(piece >= 0, self.score[piece], self.unknown_score)
         from_ = number[start]
         to = from_ + end - start
@@ -221,15 +273,10 @@ class Pieces:
         owner, rank, got, span = map(np.concatenate, (owners, steps, found, spans))
         order = np.lexsort((rank, owner))
         owner, got, span = owner[order], got[order], span[order]
-        for i in np.flatnonzero(got < 0)[::-1]:  # characters outside all pieces, as bytes
-            text = int(span[i]) - int(owner[i])
-            raw = flat[text : own_end[text]].tolist()
-            codes = [self.byte_id[b] for b in raw] if self.byte_id else [self.unknown_id]
-            got[i] = codes[0]
-            if len(codes) > 1:
-                got = np.insert(got, i + 1, codes[1:])
-                owner = np.insert(owner, i + 1, [owner[i]] * (len(codes) - 1))
-        return got.astype(np.int32), np.bincount(owner, minlength=len(chunks))
+        begin = span - owner  # a position's number, less its chunk's, is its place in the text
+        end = np.where(np.append(owner[1:] == owner[:-1], False), np.append(begin[1:], 0), np.cumsum(sizes)[owner])
+        ids, became = self._as_bytes(got, begin, end, flat)
+        return ids, np.bincount(owner, weights=became, minlength=len(chunks)).astype(np.int64)
 
     def words(self, text: bytes) -> list[bytes]:
         """The units of a text, each without its leading marker."""
@@ -244,36 +291,40 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers solved words up to a bound."""
+    """Encodes batches of texts; remembers solved words up to a number of bytes."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.counts = np.zeros(0, np.int64)
+        self.known: dict[bytes, bytes] = {}
+        self.bytes = 0
+
+    def _solve(self, words: list[bytes]) -> None:
+        chunks, size, begin = [], 0, 0
+        for i, word in enumerate(words):
+            chunks.append(MARK + word.replace(b" ", MARK))
+            size += len(chunks[-1])
+            if size >= SOLVED_BYTES or i == len(words) - 1:
+                ids, counts = self.pieces.solve(chunks)
+                raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+                self.known.update(zip(words[begin : i + 1], [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]))
+                self.bytes += size + len(raw) + 160 * len(chunks)
+                chunks, size, begin = [], 0, i + 1
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if len(self.index) > REMEMBERED:
+        if self.bytes > REMEMBERED_BYTES:
             self.reset()
+        known, long = self.known, self.pieces.solve_long
         parts = [self.pieces.words(text) for text in texts]
-        new = {w for part in parts for w in part if w not in self.index}
-        if new:
-            fresh = sorted(new)
-            ids, counts = self.pieces.solve([MARK + w.replace(b" ", MARK) for w in fresh])
-            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
-            self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
-        look = self.index.__getitem__
-        words = np.fromiter((look(w) for part in parts for w in part), np.int64)
-        begins = np.cumsum(self.counts) - self.counts
-        counts = self.counts[words]
-        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids = self.ids[np.repeat(begins[words], counts) + within]
-        of_text = np.repeat(np.arange(len(texts)), [len(part) for part in parts])
-        return ids, np.bincount(of_text, weights=counts, minlength=len(texts)).astype(np.int64)
+        self._solve(list({w for part in parts for w in part if w not in known and len(w) <= LONG}))
+        rows = [
+            b"".join([known.get(w) or long(MARK + w.replace(b" ", MARK)).tobytes() for w in part])
+            for part in parts
+        ]
+        return np.frombuffer(b"".join(rows), np.int32), np.array([len(row) // 4 for row in rows], np.int64)
 
 
 def decode(pieces: Pieces, ids: list[int]) -> str:
@@ -286,7 +337,7 @@ def _encoder(handle):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = handle.value
         encoder = Encoder(pieces)
-        for batch, texts in batched_texts(batches):
+        for batch, texts in batched_texts(batches, SLICE_BYTES):
             ids, counts = encoder.encode(texts)
             ends = np.concatenate(([0], np.cumsum(counts)))
             rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))

@@ -79,7 +79,7 @@ def test_round_trip_in_spark(make, clashing):
 
 
 def test_memory_is_bounded(pieces, monkeypatch):
-    monkeypatch.setattr(P, "REMEMBERED", 5)
+    monkeypatch.setattr(P, "REMEMBERED_BYTES", 5)
     encoder = P.Encoder(pieces)
     for text in TEXTS:
         ids, _ = encoder.encode([text.encode()])
@@ -103,3 +103,29 @@ def test_trie_finds_every_piece_and_nothing_else(pieces):
     known = {k for k, _ in keys}
     assert all(look(k + b"\xff") == -1 for k, _ in keys[::50])
     assert all((k[:-1] in known) == (look(k[:-1]) >= 0) for k, _ in keys[::20] if len(k) > 1)
+
+
+def test_long_word_alone_equals_the_same_word_among_others(pieces):
+    for text in filter(None, TEXTS):
+        chunk = P.MARK + text.replace(" ", "▁").encode()
+        assert pieces.solve_long(chunk).tolist() == pieces.solve([chunk])[0].tolist() == viterbi(pieces, text)
+
+
+def test_long_texts_without_a_break(pieces, make):
+    """A megabyte of letters, and one of characters outside all pieces, in seconds and bounded memory."""
+    draw = random.Random(2)
+    texts = ["".join(draw.choices("abcdefghij", k=1_000_000)), "𓀀" * 250_000, "世界" * 100_000 + " end", "\U000102a5 " * 50_000]
+    rows = P.encode_documents(make(texts)).collect()
+    assert {r["decoded"] for r in rows} == set(texts)
+    encoder = P.Encoder(pieces)
+    encoder.encode([t.encode() for t in texts])
+    assert encoder.bytes < 1 << 16
+
+
+def test_memory_of_solved_words_is_bounded(pieces, monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED_BYTES", 20_000)
+    encoder = P.Encoder(pieces)
+    for i in range(20):
+        text = " ".join(f"word{i}x{j}" for j in range(60))
+        ids, counts = encoder.encode([text.encode()])
+        assert P.decode(pieces, ids.tolist()) == text and encoder.bytes < 40_000
