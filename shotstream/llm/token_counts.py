@@ -27,10 +27,13 @@ RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the cutting pattern the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REACH = 3
-REMEMBERED = 400_000
+REMEMBERED_BYTES = 32 << 20
 
 Edit = tuple[int, int, str]
-EMAIL_OR_NUMBER = regex.compile(r"([\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?<!\d)(?:\d[ -]?){7,}\d(?!\d)")
+# An address begins where its run of characters, or the search, does; so no run is read from every start.
+EMAIL_OR_NUMBER = regex.compile(
+    r"((?:(?<![\w.+-])|\G)[\w.+-]++@[\w-]+(?:\.[\w-]+)+)|(?<!\d)(?:\d[ -]?){7,}\d(?!\d)"
+)
 
 
 def redactions(text: str) -> list[Edit]:
@@ -45,7 +48,7 @@ def redactions(text: str) -> list[Edit]:
 
 
 class TokenCounter:
-    """Token counts of pre-tokens, remembered up to a bound."""
+    """Token counts of pre-tokens, remembered up to a number of bytes."""
 
     def __init__(self, ranks: bytes):
         pairs = (line.split() for line in ranks.splitlines())
@@ -55,17 +58,20 @@ class TokenCounter:
         )
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
+        self.bytes = 0
 
     def cut(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
     def counts(self, parts: list[str]) -> list[int]:
         known = self.known
-        if len(known) > REMEMBERED:
+        if self.bytes > REMEMBERED_BYTES:
             known.clear()
+            self.bytes = 0
         new = {part for part in parts if part not in known}
         if new:
             fresh = list(new)
+            self.bytes += sum(4 * len(part) + 120 for part in fresh)
             known.update(zip(fresh, map(len, map(self.encoding.encode_ordinary, fresh))))
         return [known[part] for part in parts]
 

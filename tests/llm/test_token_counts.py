@@ -1,6 +1,8 @@
 import random
+import time
 
 import pytest
+import regex
 
 from shotstream.llm import token_counts as T
 
@@ -49,3 +51,30 @@ def test_table(make, counter, clashing):
         assert rows[i]["n_tokens"] == whole(counter, text or "")
         assert rows[i]["n_tokens_edited"] == whole(counter, rows[i]["edited_text"])
     assert T.count_tokens(make(texts).limit(0)).count() == 0
+
+
+def test_long_runs_are_read_once():
+    """Every one of these took time by the square of its length, or would with a careless pattern."""
+    for text, edits in [
+        ("a" * 1_000_000, 0), ("0123456789abcdef" * 30_000, 0), ("a@" * 300_000, 0), ("1" * 500_000, 1), ("a.b" * 200_000 + "@c.de", 1),
+        ("x@" + "b" * 500_000, 0), ("12 " * 200_000, 1),
+    ]:
+        began = time.monotonic()
+        assert len(T.redactions(text)) == edits
+        assert time.monotonic() - began < 5
+
+
+def test_pattern_equals_the_one_that_tries_every_start():
+    plain = regex.compile(r"([\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?<!\d)(?:\d[ -]?){7,}\d(?!\d)")
+    draw = random.Random(3)
+    for _ in range(5000):
+        text = "".join(draw.choices("a1.@ -22+3é", k=draw.randint(1, 40)))
+        found = [(m.span(), m.group(1)) for m in T.EMAIL_OR_NUMBER.finditer(text)]
+        assert found == [(m.span(), m.group(1)) for m in plain.finditer(text)], text
+
+
+def test_long_text_is_counted_and_memory_is_bounded(make, monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED_BYTES", 10_000)
+    text = "z" * 1_000_000 + " mail me@x.org " + "é" * 200_000
+    row = T.count_tokens(make([text])).first()
+    assert row["n_edits"] == 1 and row["edited_text"] == text.replace("me@x.org", "[email]")
