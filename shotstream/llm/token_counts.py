@@ -30,20 +30,42 @@ REACH = 3
 REMEMBERED_BYTES = 32 << 20
 
 Edit = tuple[int, int, str]
-# An address begins where its run of characters, or the search, does; so no run is read from every start.
-EMAIL_OR_NUMBER = regex.compile(
-    r"((?:(?<![\w.+-])|\G)[\w.+-]++@[\w-]+(?:\.[\w-]+)+)|(?<!\d)(?:\d[ -]?){7,}\d(?!\d)"
-)
+NUMBER = regex.compile(r"(?<!\d)(?:\d[ -]?){7,}\d(?!\d)")
+DOMAIN = regex.compile(r"@[\w-]+(?:\.[\w-]+)+")
+LOCAL = regex.compile(r"(?r)[\w.+-]*+")  # read backwards from the @
+
+
+def private_spans(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, is it an address) of e-mail addresses and numbers of eight or more digits, leftmost first.
+
+    Addresses are found from their @ in both directions, so every character is read a few times at most.
+    """
+    number, at = NUMBER.search(text), 0
+    for domain in DOMAIN.finditer(text):
+        begin = LOCAL.match(text, 0, domain.start()).start()
+        while number and number.start() < max(begin, at):
+            if number.start() >= at:
+                yield number.start(), number.end(), False
+                at = number.end()
+            number = NUMBER.search(text, max(at, number.start()))
+        if max(begin, at) < domain.start():
+            yield max(begin, at), domain.end(), True
+            at = domain.end()
+    while number:
+        if number.start() >= at:
+            yield number.start(), number.end(), False
+            at = number.end()
+        number = NUMBER.search(text, max(at, number.start()))
 
 
 def redactions(text: str) -> list[Edit]:
     """Edits that replace e-mail addresses and numbers of eight or more digits by a placeholder. Each
     edit's offsets count in the text that the earlier ones leave."""
     edits, shift = [], 0
-    for m in EMAIL_OR_NUMBER.finditer(text):
-        new = "[email]" if m.group(1) else "[number]"
-        edits.append((m.start() + shift, m.end() + shift, new))
-        shift += len(new) - (m.end() - m.start())
+    for start, end, address in private_spans(text):
+        new = "[email]" if address else "[number]"
+        edits.append((start + shift, end + shift, new))
+        shift += len(new) - (end - start)
     return edits
 
 

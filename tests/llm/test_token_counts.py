@@ -56,7 +56,8 @@ def test_table(make, counter, clashing):
 def test_long_runs_are_read_once():
     """Every one of these took time by the square of its length, or would with a careless pattern."""
     for text, edits in [
-        ("a" * 1_000_000, 0), ("0123456789abcdef" * 30_000, 0), ("a@" * 300_000, 0), ("1" * 500_000, 1), ("a.b" * 200_000 + "@c.de", 1),
+        ("a" * 1_000_000, 0), ("0123456789abcdef" * 30_000, 30_000),
+        ("0123456789abcdef" * 30_000 + "@x.y", 1), ("1234 5678 90" + "z" * 300_000 + "@x.y", 2), ("a@" * 300_000, 0), ("1" * 500_000, 1), ("a.b" * 200_000 + "@c.de", 1),
         ("x@" + "b" * 500_000, 0), ("12 " * 200_000, 1),
     ]:
         began = time.monotonic()
@@ -67,10 +68,9 @@ def test_long_runs_are_read_once():
 def test_pattern_equals_the_one_that_tries_every_start():
     plain = regex.compile(r"([\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?<!\d)(?:\d[ -]?){7,}\d(?!\d)")
     draw = random.Random(3)
-    for _ in range(5000):
-        text = "".join(draw.choices("a1.@ -22+3é", k=draw.randint(1, 40)))
-        found = [(m.span(), m.group(1)) for m in T.EMAIL_OR_NUMBER.finditer(text)]
-        assert found == [(m.span(), m.group(1)) for m in plain.finditer(text)], text
+    for _ in range(20000):
+        text = "".join(draw.choices("a1.@ -22+3é", weights=[2, 9, 2, 2, 1, 1, 9, 9, 1, 9, 1], k=draw.randint(1, 40)))
+        assert list(T.private_spans(text)) == [(*m.span(), m.group(1) is not None) for m in plain.finditer(text)], text
 
 
 def test_long_text_is_counted_and_memory_is_bounded(make, monkeypatch):
