@@ -2,18 +2,18 @@
 then exact weighted-shingle similarity. Native: DataFrame functions only.
 
 Texts are lower-cased and cut at ASCII characters that are neither letter nor digit. A shingle is five
-words (all words of a shorter item), known by a 64-bit hash. A window has as many words as the item; its
-similarity is sum(min) / sum(max) of shingle counts.
+words (all words of a shorter item), known by a 64-bit hash. A window has as many words as the item, and a
+text that is shorter than the item is one window; its similarity is sum(min) / sum(max) of shingle counts.
 
-Which windows get a fingerprint. With m shingles on both sides a similarity of t needs an overlap of
-``need = ceil(2tm / (1 + t))`` counted shingles. So a window that reaches t holds a shingle of any
+Which windows get a fingerprint. With m and s shingles on the two sides a similarity of t needs an overlap
+of ``need = ceil(t(m + s) / (1 + t))`` counted shingles. So a window that reaches t holds a shingle of any
 ``m - need + 1`` fixed shingles of the item, and one of the item's shingles stands among its own first
-``m - need + 1``. Windows without either have a similarity below t whatever their fingerprint, and are
-left out; nothing else is.
+``s - need + 1``. Windows without either have a similarity below t whatever their fingerprint, and are
+left out; nothing else is. A window goes on with each item that suggests it so, and meets no other.
 
 Which pairs are found. Fingerprints of 64 bits are cut into 8 blocks of 8 bits. Two fingerprints at most
 23 bits apart have a block that differs in 2 bits at most, so the index lists every item under all block
-values within 2 bits, and each window looks up its 8 block values: all pairs within the radius of 23 are
+values within 2 bits, and each window looks up its 8 block values under its items: all pairs within the radius of 23 are
 found. At a similarity of exactly 0.8 a bit differs with a chance of about 0.15, so the chance of being
 outside the radius is about 1e-5; above 0.8 it is smaller still.
 """
@@ -33,7 +33,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
-# Shingles of the benchmark sent to every executor at once; a larger benchmark goes in several blocks.
+# Shingles of the benchmark sent to every executor at once, of some 60 bytes each; a larger benchmark goes in
+# several blocks.
 SENT_SHINGLES = 200_000
 
 
@@ -117,48 +118,61 @@ def benchmark_items(benchmark: DataFrame, similarity: float) -> DataFrame:
     items = items.withColumn("item", F.xxhash64("item_id", "hashes", "n")).dropDuplicates(["item"])
     m = F.size("hashes")
     need = F.ceil(m * (2 * similarity / (1 + similarity)) - 1e-9)
-    return items.withColumn("m", m).withColumn("lead", (m - need + 1).cast("int"))
+    # A shorter text may have as few as t * m shingles, all of them shared.
+    least = F.ceil(m * similarity - 1e-9)
+    return items.withColumn("m", m).withColumns(
+        {"lead": (m - need + 1).cast("int"), "short_lead": (m - least + 1).cast("int")}
+    )
 
 
-def _candidate_windows(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def _candidate_windows(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> DataFrame:
     """Windows that can reach the similarity, one row per window and item that suggests it."""
     hashed = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     hashed = hashed.select("doc_id", shingle_hashes(F.col("words"), k).alias("all"))
     leads = items.select(
-        F.explode(F.array_distinct(F.slice("hashes", 1, F.col("lead")))).alias("h"),
-        "m", "lead", F.col("hashes").alias("whole"),
-    )
-    leads = leads.withColumn("whole_lead", F.slice("whole", 1, F.col("lead")))
-    # A lookup table: one entry per shingle, with all items that have it.
-    leads = leads.groupBy("h").agg(F.collect_list(F.struct("m", "lead", "whole", "whole_lead")).alias("of"))
+        F.explode(F.array_distinct(F.slice("hashes", 1, F.col("short_lead")))).alias("h"),
+        "item", "m", F.col("hashes").alias("__hashes"), "lead",
+    ).select("h", F.struct("item", "m", F.array_contains(F.slice("__hashes", 1, F.col("lead")), F.col("h")).alias("first")).alias("of"))
+    # A lookup table: one entry per shingle, with the items that have it; and the shingles of each item.
+    leads = leads.groupBy("h").agg(F.collect_list("of").alias("of"))
+    whole = items.select(F.col("item"), F.col("hashes").alias("whole"), "lead")
     # The outer form keeps the planner from filtering on the size of the array below the projection,
     # which would hash every text once more per word. Rows without a shingle do not join.
     at = hashed.select("doc_id", "all", F.posexplode_outer("all").alias("pos", "h"))
-    hits = at.join(F.broadcast(leads), "h")
-    hits = hits.select("doc_id", "all", "pos", F.explode("of").alias("of")).select(
-        "doc_id", "pos", "of.*", F.greatest(F.lit(0), F.col("pos") - F.col("of.m") + 1).alias("low"), "all"
+    hits = at.join(F.broadcast(leads), "h").select("doc_id", "all", "pos", F.explode("of").alias("of")).select("doc_id", "all", "pos", "of.*")
+    size, m = F.size("all"), F.col("m")
+    hits = hits.filter(F.when(size < m, size >= similarity * m - 1e-9).otherwise(F.col("first")))
+    hits = hits.join(F.broadcast(whole), "item").withColumns(
+        {
+            "low": F.greatest(F.lit(0), F.col("pos") - m + 1),
+            "span": F.least(m, size),
+            # Distinct shingles by which a window is found first, in a text that is long enough or shorter.
+            "lead": F.when(size < m, m - F.ceil(m * similarity - 1e-9) + 1).otherwise(F.col("lead")).cast("int"),
+        }
     )
-    hits = hits.withColumn("region", F.slice("all", F.col("low") + 1, F.col("pos") + F.col("m") - F.col("low"))).drop("all")
-    starts = hits.filter(F.size("region") >= F.col("m")).select(
+    region = F.slice("all", F.col("low") + 1, F.least(F.col("pos") + m, size) - F.col("low"))
+    hits = hits.select("doc_id", "item", "m", "pos", "low", "span", "lead", "whole", F.slice("whole", 1, F.col("lead")).alias("whole_lead"), region.alias("region"))
+    starts = hits.select(
         "*",
         F.explode(
-            F.sequence(F.col("low"), F.least(F.col("pos"), F.col("low") + F.size("region") - F.col("m")))
+            F.sequence(F.col("low"), F.least(F.col("pos"), F.col("low") + F.size("region") - F.col("span")))
         ).alias("start"),
     )
-    window = F.slice("region", F.col("start") - F.col("low") + 1, F.col("m"))
+    window = F.slice("region", F.col("start") - F.col("low") + 1, F.col("span"))
     before = F.slice("region", F.col("start") - F.col("low") + 1, F.col("pos") - F.col("start"))
     starts = starts.filter(
         F.arrays_overlap(F.slice("region", F.col("start") - F.col("low") + 1, F.col("lead")), F.col("whole"))
         & ~F.arrays_overlap(before, F.col("whole_lead"))  # an earlier hit has made this window
     )
-    return starts.select("doc_id", F.lit(k).alias("k"), "m", "start", window.alias("hashes"))
+    return starts.select("doc_id", "item", "start", window.alias("hashes"))
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, sent: int = SENT_SHINGLES
 ) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, similarity (of the best
-    window), start_word (of the first best window), n_words (of the item).
+    window), start_word (of the first best window), n_words (of the item). Of windows equally similar the
+    first counts.
 
     Null and empty texts contain nothing; items without words are never found; an item shorter than five
     words is one shingle of all its words. Repeated documents are found each; rows that repeat a doc_id
@@ -167,7 +181,7 @@ def contaminated(
     spark = docs.sparkSession
     # Stored, as is all else that several expressions are built on: plans stay small.
     items = stored(benchmark_items(benchmark, similarity), "items")
-    facts = items.groupBy("k").agg(F.max("m").alias("m"), F.sum("m").alias("total"), F.max("lead")).collect()
+    facts = items.groupBy("k").agg(F.max("m").alias("m"), F.sum("m").alias("total")).collect()
     if not facts:
         return spark.createDataFrame(
             [], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id"
@@ -181,15 +195,15 @@ def contaminated(
         blocks = max(1, math.ceil(row["total"] / sent))
         for block in range(blocks):
             part = of_k if blocks == 1 else of_k.filter(F.pmod("item", F.lit(blocks)) == block)
-            parts.append(_candidate_windows(docs, part, row["k"]))
+            parts.append(_candidate_windows(docs, part, row["k"], similarity))
     windows = reduce(DataFrame.unionByName, parts)
     # Windows met twice, as those of repeated documents, must not be added up: each has a number.
     windows = windows.withColumn("row", F.monotonically_increasing_id())
-    windows = stored(add_fingerprints(windows, ["doc_id", "k", "m", "start", "row"], largest), "windows")
-    index = stored(add_fingerprints(items.drop("lead"), ["item", "item_id", "n", "k", "m"], largest), "index")
+    windows = stored(add_fingerprints(windows, ["doc_id", "item", "start", "row"], largest), "windows")
+    index = stored(add_fingerprints(items, ["item", "item_id", "n", "m"], largest), "index")
     masks = F.array(*[F.lit(mask) for mask in _near_masks()])
     index = index.select(
-        "item", "item_id", "n", "k", "m", F.col("fingerprint").alias("item_print"),
+        "item", "item_id", "n", "m", F.col("fingerprint").alias("item_print"),
         F.posexplode(F.array(*[_block(F.col("fingerprint"), i) for i in range(BLOCKS)])).alias("block", "own"),
     ).select("*", F.explode(masks).alias("flip"))
     index = index.withColumn("value", F.col("own").bitwiseXOR(F.col("flip"))).drop("own", "flip")
@@ -198,7 +212,7 @@ def contaminated(
         F.posexplode(F.array(*[_block(F.col("fingerprint"), i) for i in range(BLOCKS)])).alias("block", "value"),
     )
     # The planner sees the stored items, not the 296 index rows of each: no broadcast by that estimate.
-    near = probes.join(index.hint("merge"), ["k", "m", "block", "value"]).filter(
+    near = probes.join(index.hint("merge"), ["item", "block", "value"]).filter(
         F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS
     )
     # A pair met in several blocks is kept in the first of them only.
@@ -210,8 +224,9 @@ def contaminated(
     counted = items.select("item", _counted(F.col("hashes")).alias("item_counted"))
     near = near.join(counted.hint("merge"), "item")
     overlap = F.size(F.array_intersect(_counted(F.col("hashes")), F.col("item_counted")))
+    both = F.col("m") + F.size("hashes")
     scored = near.select(
-        "doc_id", "item_id", "n", "start", (overlap / (2 * F.col("m") - overlap)).alias("similarity")
+        "doc_id", "item_id", "n", "start", (overlap / (both - overlap)).alias("similarity")
     ).filter(F.col("similarity") >= similarity - 1e-12)
     return scored.groupBy("doc_id", "item_id").agg(
         F.max("similarity").alias("similarity"),

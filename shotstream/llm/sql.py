@@ -49,7 +49,7 @@ def line_rules(min_words: int = 50, max_loss: float = 0.5) -> str:
 
 
 def decontamination(similarity: float = 0.8, shingle: int = 5) -> str:
-    """Every window that shares a shingle with an item, compared outright."""
+    """Every window that shares a shingle with an item, compared outright; a shorter text is one window."""
     words = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), {_text(NOT_ALNUM)}), lambda x: x <> '')"
 
     def cut(source: str, k: str) -> str:
@@ -65,15 +65,16 @@ def decontamination(similarity: float = 0.8, shingle: int = 5) -> str:
         unnest(range(0, len(words) - k + 1)) AS pos, len(words) - k + 1 AS size
       FROM docs, (SELECT DISTINCT k FROM items) WHERE len(words) >= k),
     starts AS (SELECT DISTINCT doc_id, item_id, n, k, m,
-        unnest(range(greatest(0, pos - m + 1), least(pos, size - m) + 1)) AS start
+        least(m, size) AS span,
+        unnest(range(greatest(0, pos - m + 1), greatest(0, least(pos, size - m)) + 1)) AS start
       FROM places JOIN item_counts USING (k, s)),
-    windows AS (SELECT doc_id, item_id, n, m, start, s, count(*) AS c
+    windows AS (SELECT doc_id, item_id, n, m, span, start, s, count(*) AS c
       FROM starts JOIN places USING (doc_id, k) WHERE pos BETWEEN start AND start + m - 1 GROUP BY ALL),
-    scored AS (SELECT doc_id, item_id, n, start, sum(least(w.c, i.c)) AS shared, any_value(w.m) AS m
+    scored AS (SELECT doc_id, item_id, n, start, sum(least(w.c, i.c)) AS shared, any_value(w.m + span) AS together
       FROM windows w JOIN item_counts i USING (item_id, s, n) GROUP BY ALL)
-    SELECT doc_id, item_id, round(max(shared / (2 * m - shared)), 6) AS similarity,
+    SELECT doc_id, item_id, round(max(shared / (together - shared)), 6) AS similarity,
       CAST(arg_min(start, (-shared, start)) AS INTEGER) AS start_word, CAST(any_value(n) AS INTEGER) AS n_words
-    FROM scored WHERE shared / (2 * m - shared) >= {similarity} - 1e-12 GROUP BY 1, 2"""
+    FROM scored WHERE shared / (together - shared) >= {similarity} - 1e-12 GROUP BY 1, 2"""
 
 
 def shards() -> str:
