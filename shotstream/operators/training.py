@@ -7,6 +7,8 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -95,6 +97,66 @@ def fit_logistic(
     return LinearModel(dict(zip(names, weights)), float(fitted.intercept), version)
 
 
+def _gram(weights: np.ndarray):
+    """Loss, gradient and curvature sums of the rows of a task, one row per entry."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(weights)
+        loss, gradient, curvature = 0.0, np.zeros(k), np.zeros((k, k))
+        for batch in batches:
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k - 1)
+            x = np.column_stack((x, np.ones(batch.num_rows)))
+            y = batch.column("_y").to_numpy(zero_copy_only=False)
+            margin = x @ weights
+            p = 0.5 * (1 + np.tanh(0.5 * margin))
+            loss += (np.logaddexp(0, margin) - y * margin).sum()
+            gradient += (p - y) @ x
+            curvature += (x * (p * (1 - p))[:, None]).T @ x
+        values = np.concatenate(([loss], gradient, curvature.ravel()))
+        yield pa.record_batch([pa.array(np.arange(len(values))), pa.array(values)], names=["at", "value"])
+
+    return sums
+
+
+def fit_newton(
+    df: DataFrame, names: Sequence[str], label: str, version: str = "", strength: float = 1.0,
+    max_steps: int = 100, tol: float = 1e-8,
+) -> LinearModel:
+    """Ridge logistic regression whose intercept is penalised like a coefficient, by Newton steps.
+
+    Every step is one pass: the tasks add up gradient and curvature (the square of the number of features,
+    however many rows) and Spark adds those of all tasks. Steps that do not lower the loss are halved. Ends
+    when no entry of the gradient exceeds ``tol`` or rounding allows no lower loss. Rows need non-null
+    features and label.
+    """
+    k = len(names) + 1
+    row = F.array(*[F.col(f"`{n}`").cast("double") for n in names]) if names else F.array().cast("array<double>")
+    data = df.select(row.alias("_x"), F.col(label).cast("double").alias("_y")).persist()
+    try:
+        def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            entries = data.mapInArrow(_gram(w), "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value"))
+            values = np.zeros(1 + k + k * k)
+            for position, value in entries.collect():
+                values[position] = value
+            return strength * values[0] + w @ w / 2, strength * values[1 : k + 1] + w, strength * values[k + 1 :].reshape(k, k) + np.eye(k)
+
+        weights = np.zeros(k)
+        loss, gradient, curvature = at(weights)
+        for _ in range(max_steps):
+            if np.abs(gradient).max() < tol:
+                break
+            step = np.linalg.solve(curvature, gradient)
+            while True:
+                new = at(weights - step)
+                if new[0] <= loss + 1e-13 * abs(loss) or np.abs(step).max() < 1e-15:
+                    break
+                step = step / 2
+            weights, (loss, gradient, curvature) = weights - step, new
+    finally:
+        data.unpersist()
+    return LinearModel(dict(zip(names, map(float, weights[:-1]))), float(weights[-1]), version)
+
+
 def fit_gbt(
     df: DataFrame, names: Sequence[str], label: str, iterations: int = 100, seed: int = 42
 ):

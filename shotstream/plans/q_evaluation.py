@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotstream.operators import evaluate, monitoring, splits
+from shotstream.operators import evaluate, monitoring, splits, stability
 from shotstream.operators.scoring import alert_events
 from shotstream.plans import fixtures as fx
 from shotstream.plans.catalog import query, r, rounded
@@ -165,6 +165,68 @@ def model_compare(spark, sf_dir):
     return rounded(evaluate.ranking_metrics(table, ["model_version"]))
 
 
+_WEEK = 7 * 86_400_000_000_000
+_SECONDS = (1.0, 10.0, 60.0, 120.0, 300.0, 600.0)
+_BOTH_MODELS = """(SELECT 'demo' AS model_version, shot_id, ts_unix_ns, p, label, time_to_disruption FROM scored
+  UNION ALL SELECT 'tilted', shot_id, ts_unix_ns, TILTED, label, time_to_disruption
+  FROM vec JOIN scored USING (shot_id, ts_unix_ns))""".replace("TILTED", sigmoid_sql(score_sql(_TILTED)))
+_EDGES = ", ".join(f"({e!r})" for e in _SECONDS) + ", (CAST('Infinity' AS DOUBLE))"
+
+
+@query(
+    "model_stability",
+    with_views(
+        "tel vec scored",
+        f"""SELECT model_version, {r('roc_auc')} AS roc_auc, {r('average_precision')} AS average_precision,
+        {r('recall_at_fpr')} AS recall_at_fpr, {r('mean_lead_time_ms')} AS mean_lead_time_ms,
+        {r('p95_seconds')} AS p95_seconds, slices, {r('max_psi')} AS max_psi, {r('max_ks')} AS max_ks
+        FROM ranking JOIN leads USING (model_version) JOIN p95 USING (model_version) JOIN worst USING (model_version)""",
+    ).replace(
+        " SELECT model_version",
+        f""", both_models AS MATERIALIZED {_BOTH_MODELS},
+        ranking AS (SELECT model_version, {AUC} AS roc_auc, {AP} AS average_precision, {RECALL} AS recall_at_fpr
+          FROM {curve('model_version', 'both_models')} GROUP BY 1),
+        leads AS (SELECT model_version, coalesce(avg(lead), 0.0) AS mean_lead_time_ms FROM (
+          SELECT model_version, shot_id, max(time_to_disruption) FILTER (WHERE p >= 0.5 AND time_to_disruption >= 0
+            AND time_to_disruption < CAST('Infinity' AS DOUBLE)) AS lead FROM both_models GROUP BY 1, 2) GROUP BY 1),
+        waits AS (SELECT model_version, (ts_unix_ns + {fx.BUCKET} - arrived) / 1e9 AS seconds FROM both_models JOIN
+          (SELECT shot_id, ts_unix_ns // {fx.BUCKET} * {fx.BUCKET} AS ts_unix_ns, max(ts_unix_ns) AS arrived
+           FROM tel GROUP BY 1, 2) USING (shot_id, ts_unix_ns)),
+        steps AS (SELECT model_version, le, count(*) FILTER (WHERE seconds <= le) AS cumulative
+          FROM waits, (VALUES {_EDGES}) AS b(le) GROUP BY 1, 2),
+        p95 AS (SELECT model_version, arg_min(CASE WHEN le = CAST('Infinity' AS DOUBLE) THEN lo
+            ELSE lo + (le - lo) * (0.95 * total - below) / (cumulative - below) END, le) AS p95_seconds
+          FROM (SELECT *, lag(le, 1, 0.0) OVER o AS lo, lag(cumulative, 1, 0) OVER o AS below,
+            max(cumulative) OVER (PARTITION BY model_version) AS total FROM steps
+            WINDOW o AS (PARTITION BY model_version ORDER BY le))
+          WHERE cumulative >= 0.95 * total AND cumulative > below GROUP BY 1),
+        bin_grid AS (SELECT DISTINCT model_version, ts_unix_ns // {_WEEK} AS slice, bin FROM both_models, range(10) AS b(bin)),
+        bin_cells AS (SELECT model_version, slice, bin, coalesce(n, 0) AS n FROM bin_grid LEFT JOIN (
+          SELECT model_version, ts_unix_ns // {_WEEK} AS slice, CAST(least(floor(p * 10), 9) AS BIGINT) AS bin,
+            count(*) AS n FROM both_models GROUP BY 1, 2, 3) USING (model_version, slice, bin)),
+        shares AS (SELECT *, sum(n) OVER (PARTITION BY model_version, slice) AS rows_here,
+          sum(n) OVER (PARTITION BY model_version, bin) AS bin_all, sum(n) OVER (PARTITION BY model_version) AS rows_all FROM bin_cells),
+        gaps AS (SELECT model_version, slice, (n + 0.5) / (rows_here + 5) AS a, (bin_all + 0.5) / (rows_all + 5) AS e,
+          abs(sum(n / rows_here - bin_all / rows_all) OVER (PARTITION BY model_version, slice ORDER BY bin)) AS gap FROM shares),
+        worst AS (SELECT model_version, count(*) AS slices, max(psi) AS max_psi, max(ks) AS max_ks FROM (
+          SELECT model_version, slice, sum((a - e) * ln(a / e)) AS psi, max(gap) AS ks FROM gaps GROUP BY 1, 2) GROUP BY 1)
+        SELECT model_version""",
+        1,
+    ),
+)
+def model_stability(spark, sf_dir):
+    """Two models by ranking, lead time, latency from a cell's last sample to its risk, and drift by week."""
+    rows = fx.scored(spark, sf_dir, fx.demo_model(), _TILTED)
+    cell = F.expr(f"(ts_unix_ns div {fx.BUCKET}L) * {fx.BUCKET}L")
+    arrived = fx.telemetry(spark, sf_dir).groupBy("shot_id", cell.alias("ts_unix_ns")).agg(F.max("ts_unix_ns").alias("arrived_unix_ns"))
+    made = rows.select("model_version", "shot_id", "ts_unix_ns", (F.col("ts_unix_ns") + fx.BUCKET).alias("created_unix_ns"))
+    waits = arrived.join(made, ["shot_id", "ts_unix_ns"]).select(
+        "model_version", ((F.col("created_unix_ns") - F.col("arrived_unix_ns")) / 1e9).alias("seconds")
+    )
+    week = F.expr(f"ts_unix_ns div {_WEEK}L")
+    return rounded(stability.compare_models(rows, waits, week, _SECONDS))
+
+
 @query(
     "shot_split",
     with_views(

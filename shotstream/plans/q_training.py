@@ -46,10 +46,9 @@ def train_gbt(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "feature string, importance double"))
 
 
-# Newton steps on slope and offset with the slope's penalty of one half of its square.
-@query(
-    "platt_fit",
-    with_views(
+def _newton_sql(offset_penalty: float) -> str:
+    """Newton steps on slope and offset; the slope's penalty is one half of its square."""
+    return with_views(
         "vec shots",
         f"""SELECT round(a, 4) AS scale, round(b, 4) AS "offset" FROM fitted ORDER BY step DESC LIMIT 1""",
     ).replace(
@@ -58,49 +57,59 @@ def train_gbt(spark, sf_dir):
         fitted AS (SELECT * FROM (WITH RECURSIVE steps AS (
           SELECT 0 AS step, CAST(0.0 AS DOUBLE) AS a, CAST(0.0 AS DOUBLE) AS b
           UNION ALL
-          SELECT step + 1, a - (gaa * ga - gab * gb) / det, b - (hbb * gb - gab * ga) / det FROM (
+          SELECT step + 1, a - (gaa * ga - gab * gb) / (gaa * hbb - gab * gab), b - (hbb * gb - gab * ga) / (gaa * hbb - gab * gab) FROM (
             SELECT step, any_value(a) AS a, any_value(b) AS b,
-              sum((n * p - y) * x) + any_value(a) AS ga, sum(n * p - y) AS gb,
-              sum(n * p * (1 - p)) AS gaa, sum(n * p * (1 - p) * x) AS gab,
-              sum(n * p * (1 - p) * x * x) + 1.0 AS hbb,
-              (sum(n * p * (1 - p) * x * x) + 1.0) * sum(n * p * (1 - p)) - pow(sum(n * p * (1 - p) * x), 2) AS det
+              sum((n * p - y) * x) + any_value(a) AS ga, sum(n * p - y) + {offset_penalty} * any_value(b) AS gb,
+              sum(n * p * (1 - p)) + {offset_penalty} AS gaa, sum(n * p * (1 - p) * x) AS gab,
+              sum(n * p * (1 - p) * x * x) + 1.0 AS hbb
             FROM (SELECT *, 1.0 / (1.0 + exp(-(a * x + b))) AS p FROM steps, points) GROUP BY step) WHERE step < 25)
           SELECT * FROM steps)) SELECT round(a, 4)""",
         1,
-    ),
-)
+    )
+
+
+@query("platt_fit", _newton_sql(0.0))
 def platt_fit(spark, sf_dir):
     fitted = training.fit_platt(_scores(spark, sf_dir), "label")
     made = spark.createDataFrame([(fitted.scale, fitted.offset)], "scale double, offset double")
     return made.select(F.round("scale", 4).alias("scale"), F.round("offset", 4).alias("offset"))
 
 
-# The largest, over starts up to a score, of the smallest mean, over ends from it.
-@query(
-    "isotonic_fit",
-    with_views(
-        "vec shots",
-        f"""SELECT x AS score, {r('max(low)')} AS p FROM (
-          SELECT i, x, min(mean) OVER (PARTITION BY start ORDER BY i DESC) AS low FROM (
-            SELECT a.i AS start, b.i, b.x, (b.sy - a.sy + a.y) / (b.sn - a.sn + a.n) AS mean
-            FROM sums a JOIN sums b ON a.i <= b.i)) GROUP BY 1""",
-    ).replace(
-        " SELECT x AS score",
-        f""", sums AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(y) OVER (ORDER BY x) AS sy,
-          sum(n) OVER (ORDER BY x) AS sn FROM (SELECT floor(score * 64) / 64 AS x, sum(y) AS y, count(*) AS n
-          FROM {_SCORED} GROUP BY 1)) SELECT x AS score""",
-        1,
-    ),
+@query("logistic_newton", _newton_sql(1.0))
+def logistic_newton(spark, sf_dir):
+    """The score's slope and offset with both penalised."""
+    fitted = training.fit_newton(_scores(spark, sf_dir), ["score"], "label")
+    made = spark.createDataFrame([(fitted.coefficients["score"], fitted.intercept)], "scale double, offset double")
+    return made.select(F.round("scale", 4).alias("scale"), F.round("offset", 4).alias("offset"))
+
+
+# Neighbours that do not rise get one value in any rising fit, so runs of them are pooled first, exactly. The
+# fit of a pool is the largest, over starts up to it, of the smallest mean, over ends from it.
+_ISOTONIC = with_views("vec shots", f"SELECT {r('x')} AS score, {r('p')} AS p FROM points JOIN fits USING (pool)").replace(
+    f" SELECT {r('x')} AS score",
+    f""", means AS (SELECT score AS x, sum(y) AS y, count(*) AS n FROM {_SCORED} GROUP BY 1),
+    rises AS (SELECT *, CASE WHEN y / n > lag(y / n) OVER (ORDER BY x) THEN 1 ELSE 0 END AS rise FROM means),
+    points AS MATERIALIZED (SELECT x, y, n, sum(rise) OVER (ORDER BY x) AS pool FROM rises),
+    pools AS (SELECT pool, sum(y) AS y, sum(n) AS n FROM points GROUP BY 1),
+    sums AS MATERIALIZED (SELECT pool, y, n, sum(y) OVER (ORDER BY pool) AS sy, sum(n) OVER (ORDER BY pool) AS sn FROM pools),
+    fits AS (SELECT pool, max(low) AS p FROM (
+      SELECT pool, min(mean) OVER (PARTITION BY start ORDER BY pool DESC) AS low FROM (
+        SELECT a.pool AS start, b.pool, (b.sy - a.sy + a.y) / (b.sn - a.sn + a.n) AS mean
+        FROM sums a JOIN sums b ON a.pool <= b.pool)) GROUP BY 1)
+    SELECT {r('x')} AS score""",
+    1,
 )
+
+
+@query("isotonic_fit", _ISOTONIC)
 def isotonic_fit(spark, sf_dir):
-    """The fitted value of every score, scores taken in steps of 1/64 as in the SQL, which is quadratic in
-    them. ``isotonic_fit_exact`` fits the scores themselves."""
-    return _isotonic(_scores(spark, sf_dir).withColumn("score", F.floor(F.col("score") * 64) / F.lit(64.0)))
+    """The fitted value of every exact score."""
+    return _isotonic(_scores(spark, sf_dir))
 
 
-@query("isotonic_fit_exact")
+@query("isotonic_fit_exact", _ISOTONIC)
 def isotonic_fit_exact(spark, sf_dir):
-    """The fitted value of every exact score."""
+    """The same under the name it had while ``isotonic_fit`` took rounded scores."""
     return _isotonic(_scores(spark, sf_dir))
 
 
