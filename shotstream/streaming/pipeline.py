@@ -7,15 +7,16 @@ keys, on its rows plus a small state table:
 * ``state/last_ts``: the last accepted time of each shot,
 * ``state/tail``: the last samples of each series, as many as the widest window looks back.
 
-State is written per batch into alternating slots and every output goes to a directory named after
-its batch, so a batch that is run again after a failure reads the state it read before and replaces
-its own output.
+State lies in snapshot tables: a batch looks up the shots and series it holds samples of and writes those
+alone, as the version after the one it read. Every output goes to a directory named after its batch. So a
+batch that is run again after a failure reads the state it read before and replaces its own output.
+``keyed.py`` has the same acceptance with Spark's keyed state, for streams without hot shots.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +28,25 @@ from shotstream.functions.validity import last_per_name
 from shotstream.operators import features, ingest, points, scoring
 from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, with_position
 from shotstream.schema import CHANNELS, MESSAGE, SERIES_KEY, WINDOWS
+from shotstream.sources.sinks import path_exists
+from shotstream.sources.snapshots import Layout, SnapshotTable
 
 STAGES = ("ingest", "features", "risk")
-_LAST = "shot_id string, last_ts bigint"
-_TAIL = "shot_id string, channel_name string, ts_unix_ns bigint, value double"
+# What a shot, and a series, leaves behind for the next batch.
+_LAST = Layout("shot_id string, last_ts bigint", ("shot_id",), "shot_id")
+_TAIL = Layout(
+    "shot_id string, channel_name string, newest bigint, samples array<struct<ts_unix_ns: bigint, value: double>>",
+    SERIES_KEY, "shot_id",
+)
 
 
 @dataclass(frozen=True)
 class StreamPlan:
-    """What a stream computes and the folder that holds its tables, state and checkpoint."""
+    """What a stream computes and the folder that holds its tables, state and checkpoint.
+
+    A shot or series without a sample for ``ttl_ns`` before the newest one accepted in earlier batches is
+    forgotten: its next sample is taken as its first. Without ``ttl_ns`` nothing is forgotten.
+    """
 
     root: str
     until: str = "risk"
@@ -47,6 +58,8 @@ class StreamPlan:
     rules: Sequence[Rule] = ()
     thresholds: Thresholds = field(default_factory=Thresholds)
     limits: Limits = DEFAULT_LIMITS
+    ttl_ns: int | None = None
+    state_buckets: int = 64
 
     def __post_init__(self) -> None:
         if self.until not in STAGES:
@@ -89,41 +102,63 @@ class RiskStream:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def _state(self, spark: SparkSession, name: str, batch_id: int, schema: str) -> DataFrame:
-        """State as the previous batch left it."""
-        if batch_id == 0:
-            return spark.createDataFrame([], schema)
-        path = f"{self.plan.root}/state/{name}/slot={(batch_id - 1) % 2}"
-        return spark.read.schema(schema).parquet(path)
-
-    def _keep(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.plan.root}/state/{name}/slot={batch_id % 2}")
+    def memory(self, spark: SparkSession, name: str) -> SnapshotTable:
+        """State ``last_ts`` or ``tail``: version n + 1 is what batch n left."""
+        path = f"{self.plan.root}/state/{name}"
+        if path_exists(spark, f"{path}/layout/_SUCCESS"):
+            return SnapshotTable.open(spark, path)
+        layout = _LAST if name == "last_ts" else _TAIL
+        return SnapshotTable.create(spark, path, replace(layout, buckets=self.plan.state_buckets))
+
+    def _horizon(self, spark: SparkSession, batch_id: int) -> int | None:
+        """What was last heard of before this time is forgotten."""
+        if self.plan.ttl_ns is None or batch_id == 0:
+            return None
+        clock = spark.read.schema("now bigint").json(f"{self.plan.root}/state/clock/batch_id={batch_id - 1}").first()
+        return None if clock is None or clock["now"] is None else clock["now"] - self.plan.ttl_ns
+
+    def _tick(self, judged: DataFrame, horizon: int | None, batch_id: int) -> None:
+        if self.plan.ttl_ns is not None:
+            newest = F.max(F.when(F.col("reason").isNull(), F.col("ts_unix_ns")))
+            before = F.lit(None if horizon is None else horizon + self.plan.ttl_ns).cast("bigint")
+            now = judged.agg(F.greatest(newest, before).alias("now"))
+            now.write.mode("overwrite").json(f"{self.plan.root}/state/clock/batch_id={batch_id}")
 
     def _ingest(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        last = self._state(batch.sparkSession, "last_ts", batch_id, _LAST)
+        spark = batch.sparkSession
         valid = ingest.validate(
             ingest.decode(batch), self.plan.allowed, self.plan.max_channels
         )
+        memory, horizon = self.memory(spark, "last_ts"), self._horizon(spark, batch_id)
+        shots = valid.filter("reason is null").select("shot_id").distinct()
+        last = memory.lookup(shots, version=batch_id)
+        if horizon is not None:
+            last = last.filter(F.col("last_ts") >= horizon)
         judged = ingest.monotonic(valid, last_accepted=last, limits=self.plan.limits)
         judged = self._store(judged, "judged", batch_id)
         newest = (
             judged.filter("reason is null")
-            .select("shot_id", F.col("ts_unix_ns").alias("last_ts"))
-            .unionByName(last)
             .groupBy("shot_id")
-            .agg(F.max("last_ts").alias("last_ts"))
+            .agg(F.max("ts_unix_ns").alias("last_ts"))
         )
-        self._keep(newest, "last_ts", batch_id)
+        memory.upsert(newest, version=batch_id, alive=None if horizon is None else F.col("last_ts") >= horizon)
+        self._tick(judged, horizon, batch_id)
         return judged
 
     def _features(self, judged: DataFrame, batch_id: int) -> DataFrame:
-        tail = self._state(judged.sparkSession, "tail", batch_id, _TAIL)
+        spark = judged.sparkSession
+        memory, horizon = self.memory(spark, "tail"), self._horizon(spark, batch_id)
         accepted = judged.filter("reason is null").withColumn(
             "channels", last_per_name("channels")
         )
         fresh = points.explode_points(
             ingest.with_missing_ratio(accepted, self.plan.allowed), "missing_ratio"
         )
+        # Only the series of this batch are looked up and written.
+        tail = memory.lookup(fresh.select(*SERIES_KEY).distinct(), version=batch_id)
+        if horizon is not None:
+            tail = tail.filter(F.col("newest") >= horizon)
+        tail = tail.select(*SERIES_KEY, F.inline("samples"))
         line = fresh.withColumn("_fresh", F.lit(True)).unionByName(
             tail.withColumn("_fresh", F.lit(False)), allowMissingColumns=True
         )
@@ -136,11 +171,11 @@ class RiskStream:
         )
         ranked = with_position(backwards, SERIES_KEY, ["_back"], self.plan.limits)
         depth = max(1, *(w - 1 for w in self.plan.windows))
-        self._keep(
-            ranked.filter(F.col("pos") < depth).select(*SERIES_KEY, "ts_unix_ns", "value"),
-            "tail",
-            batch_id,
+        tails = ranked.filter(F.col("pos") < depth).groupBy(*SERIES_KEY).agg(
+            F.max("ts_unix_ns").alias("newest"),
+            F.sort_array(F.collect_list(F.struct("ts_unix_ns", "value"))).alias("samples"),
         )
+        memory.upsert(tails, version=batch_id, alive=None if horizon is None else F.col("newest") >= horizon)
         return computed
 
     def _risk(self, computed: DataFrame, batch_id: int) -> None:
