@@ -127,8 +127,9 @@ WITH RECURSIVE steps(part, prefix, applied, step, {', '.join(MEASURES)}) AS (
     {_SUM.format(_HERE, 'good')},
     {_SUM.format(_HERE, 'toxic')}
   FROM steps s
-  JOIN {{letters}} l ON s.applied & l.bit = 0
-  JOIN {{cells}} c ON c.part = s.part)
+  JOIN {{cells}} c ON c.part = s.part
+  LATERAL VIEW inline(array({', '.join(f"struct('{x}', {1 << i})" for i, x in enumerate(LETTERS))})) l AS letter, bit
+  WHERE s.applied & l.bit = 0)
 SELECT * FROM steps WHERE step > 0"""
 
 
@@ -144,8 +145,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     cells = mask_cells(docs, labels).groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells"))
     cells = stored(cells, "mask_cells")  # at most 32 cells a part
-    letters = spark.createDataFrame([(x, 1 << i) for i, x in enumerate(LETTERS)], "letter string, bit int")
-    steps = stored(spark.sql(STEPS, cells=cells, letters=letters), "filter_steps")
+    steps = stored(spark.sql(STEPS, cells=cells), "filter_steps")
     orders = steps.where(F.col("step") == len(LETTERS)).select("part", F.col("prefix").alias("filter_order"))
     orders = orders.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(LETTERS)))))
     orders = orders.withColumn("prefix", F.substring("filter_order", F.lit(1), F.col("step")))
