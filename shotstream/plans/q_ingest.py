@@ -13,6 +13,7 @@ from shotstream.plans.sql_views import with_views
 from shotstream.schema import CHANNELS
 from shotstream.session import work_dir
 from shotstream.sources import dataset, files, sinks
+from shotstream.sources.snapshots import Layout, SnapshotTable
 
 STEP = 30 * fx.MINUTE
 UNPIVOT_WIDE = " UNION ALL ".join(
@@ -346,6 +347,50 @@ def telemetry_upsert(spark, sf_dir):
     return rounded(merged.select("shot_id", "ts_unix_ns", "channel_name", "value", "quality"))
 
 
+@query(
+    "telemetry_snapshots",
+    with_views(
+        "arr",
+        f"""SELECT shot_id, ts_unix_ns, channel_name, {r('arg_max(value, arrival)')} AS value,
+        arg_max(quality, arrival) AS quality FROM (
+          SELECT shot_id, (ts_unix_ns // {STEP}) * {STEP} AS ts_unix_ns, channel_name, value, quality,
+          arrival * 16 + event_id % 13 AS arrival FROM arr) GROUP BY 1, 2, 3""",
+    ),
+)
+def telemetry_snapshots(spark, sf_dir):
+    """The samples of ``telemetry_upsert`` in three upserts of a snapshot table of buckets and weeks."""
+    rows = fx.arrivals(spark, sf_dir).select(
+        "shot_id",
+        F.expr(f"(ts_unix_ns div {STEP}L) * {STEP}L").alias("ts_unix_ns"),
+        "channel_name",
+        "value",
+        "quality",
+        (F.col("arrival") * 16 + F.col("event_id") % 13).alias("arrival"),
+    )
+    layout = Layout(
+        "shot_id string, ts_unix_ns bigint, channel_name string, value double, quality string, arrival bigint",
+        upsert.SAMPLE_KEY, "shot_id", buckets=4, order=("arrival",), time="ts_unix_ns", slice_width=7 * 86_400_000_000_000,
+    )
+    table = SnapshotTable.create(spark, work_dir(spark, "snapshots"), layout)
+    for i in range(3):
+        table.upsert(rows.filter(F.pmod(F.xxhash64("arrival"), F.lit(3)) == i))
+    return rounded(table.read().drop("arrival"))
+
+
+@query(
+    "event_append",
+    "SELECT event_id, user_id, event_type FROM events",
+)
+def event_append(spark, sf_dir):
+    """All events appended in two batches that share a third of them, then the second once more."""
+    rows = fx.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    layout = Layout("event_id bigint, user_id bigint, event_type string", ("event_id",), "event_id", buckets=4, bloom=True)
+    table = SnapshotTable.create(spark, work_dir(spark, "events"), layout)
+    for wanted in ("event_id % 3 < 2", "event_id % 3 > 0", "event_id % 3 > 0"):
+        table.append(rows.filter(wanted))
+    return table.read()
+
+
 @query(
     "risk_upsert",
     with_views(

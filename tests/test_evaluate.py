@@ -191,3 +191,31 @@ def test_histogram_quantile(spark):
     assert monitoring.histogram_quantile(buckets, 0.25).first().quantile == pytest.approx(0.5)
     late = monitoring.latency_buckets(df, edges=(1.0,))
     assert monitoring.histogram_quantile(late, 0.95).first().quantile == pytest.approx(1.0)
+
+
+def test_drift_against_numpy(spark):
+    import numpy as np
+
+    from shotstream.operators import stability
+
+    draw = np.random.default_rng(2)
+    rows = [(m, int(t), float(p)) for m in ("a", "b") for t in range(3) for p in draw.beta(1 + t, 2, 200)]
+    rows += [("a", 1, 1.0), ("a", 1, 0.0), ("a", 2, None), ("a", 2, 1.5), ("c", 0, None)]
+    df = spark.createDataFrame(rows, "model_version string, t int, p double")
+    from pyspark.sql import functions as F
+
+    table = stability.drift(stability.score_histograms(df, ["model_version"], F.col("t")), ["model_version"])
+    got = {(r.model_version, r.slice): r for r in table.collect()}
+    assert len(got) == 6
+    for model in ("a", "b"):
+        counts = np.array([
+            np.histogram([p for m, t, p in rows if m == model and t == s and p is not None and p <= 1], np.linspace(0, 1, 11))[0]
+            for s in range(3)
+        ])
+        whole = counts.sum(0)
+        for s in range(3):
+            a, e = (counts[s] + 0.5) / (counts[s].sum() + 5), (whole + 0.5) / (whole.sum() + 5)
+            ks = np.abs(np.cumsum(counts[s] / counts[s].sum() - whole / whole.sum())).max()
+            row = got[model, s]
+            assert row.rows == counts[s].sum()
+            assert row.psi == pytest.approx(((a - e) * np.log(a / e)).sum()) and row.ks == pytest.approx(ks)

@@ -131,3 +131,29 @@ def test_registered_isotonic_fits_exact_scores(spark, monkeypatch):
     want = {x: max(min(means[a, b] for b in xs if b >= x) for a in xs if a <= x) for x in xs}
     assert sorted(got) == pytest.approx(xs) and len({round(p, 6) for p in want.values()}) > 2
     assert [got[x] for x in sorted(got)] == pytest.approx([want[x] for x in xs], abs=2e-6)
+
+
+def test_newton_ends_where_the_gradient_vanishes(spark):
+    draw = np.random.default_rng(3)
+    x = np.column_stack((draw.normal(size=(400, 3)), 50 * draw.normal(size=400)))
+    y = (draw.uniform(size=400) < 1 / (1 + np.exp(-(x[:, 0] - 2 * x[:, 1] + 0.02 * x[:, 3] + 0.7)))).astype(float)
+    rows = [(*map(float, a), float(b)) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, y double").repartition(3)
+    model = training.fit_newton(df, ["a", "b", "c", "d"], "y", "v")
+    w = np.array([*model.coefficients.values(), model.intercept])
+    full = np.column_stack((x, np.ones(400)))
+
+    def gradient(w):
+        return full.T @ (1 / (1 + np.exp(-full @ w)) - y) + w
+
+    assert np.abs(gradient(w)).max() < 1e-8
+    plain = np.zeros(5)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-full @ plain))
+        plain -= np.linalg.solve((full.T * (p * (1 - p))) @ full + np.eye(5), gradient(plain))
+    assert w == pytest.approx(plain, abs=1e-9)
+    # Separable data, one class and no features have a finite optimum too.
+    two = spark.createDataFrame([(float(i), float(i > 4)) for i in range(10)], "a double, y double")
+    assert training.fit_newton(two, ["a"], "y").coefficients["a"] > 0
+    alone = training.fit_newton(two.withColumn("y", F.lit(1.0)), [], "y")
+    assert alone.coefficients == {} and alone.intercept == pytest.approx(10 / (1 + np.exp(alone.intercept)))
