@@ -29,6 +29,12 @@ PAGES = 300
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = ("script", "style", "template", "noscript", "title", "textarea", "select", "option", "svg", "iframe", "object", "canvas", "head", "button")
+RAW = ("script", "style", "textarea", "title")  # these alone run to the end of the page without an end tag
+# What ends a hidden element whose end tag may be missing: these cannot lie in each other.
+ENDS_HIDDEN = {
+    "option": re.compile(r"</option(?=[\s/>])[^>]*>|(?=<(?:option|optgroup|/select|/datalist|/optgroup)(?=[\s/>]))", re.IGNORECASE),
+    **{tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|(?=<{tag}(?=[\s/>]))", re.IGNORECASE) for tag in ("button", "select")},
+}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp"
     " small span strike strong sub sup time tt u var".split()
@@ -146,10 +152,11 @@ class Page:
                 break
             if tag in HIDDEN:
                 if not closing and not m.group(4).endswith("/"):
-                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
-                    if end:
+                    pattern = ENDS_HIDDEN.get(tag) or re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE)
+                    end = pattern.search(source, at)
+                    if end and (end.group() or tag == "option"):  # a second button tells that the first is not closed
                         at = end.end()
-                    elif tag != "head":
+                    elif tag in RAW:
                         at = len(source)
                 continue
             if tag == "a":
@@ -284,8 +291,10 @@ def extract_text(pages: DataFrame, labelled_pages: int = PAGES) -> DataFrame:
     repeated rows are extracted each. Without labelled pages the prior weights serve.
     """
     n = pages.count()
-    drawn = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(max(1, n))) < labelled_pages) if n else pages
-    sources = [row[0] for row in drawn.filter("html IS NOT NULL").select("html").orderBy("page_id", "html").collect()]
+    # Drawn by id and text, each different page once: null or repeated ids are drawn no more often than others.
+    drawn = pages.filter(F.pmod(F.xxhash64("page_id", "html"), F.lit(max(1, n))) < labelled_pages)
+    drawn = drawn.filter("html IS NOT NULL").select("page_id", "html").distinct()
+    sources = [row[0] for row in drawn.orderBy("page_id", "html").select("html").collect()]
     model = pages.sparkSession.sparkContext.broadcast(fit(sources))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return map_batches(

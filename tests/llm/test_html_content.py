@@ -73,3 +73,25 @@ def test_table(spark):
     assert got.count((1, "u", WANT, len(WANT))) == 2
     assert (2, None, "", 0) in got and (None, "v", "", 0) in got and len(got) == 5
     assert H.extract_text(pages.limit(0)).count() == 0
+
+
+def test_hidden_elements_without_an_end_tag_hide_no_article(model):
+    for before in (
+        "<datalist><option value=a></datalist>", "<datalist><option value=a><option value=b></datalist>", "<button>", "<button>x<button>y</button>",
+        "<select><option>one<option>two</select>", "<svg><path d=x></svg>", "<object>", "<canvas>", "<select>",
+    ):
+        for after in ("", "<select><option>x</option></select>"):
+            text = H.main_text(page(before, ARTICLE, after), *model, {})
+            assert text.endswith(WANT), (before, after, text)
+    # Script and style do run to the end.
+    assert H.main_text(page(ARTICLE, "<script>var a = '<p>no</p>'"), *model, {}) == WANT
+
+
+def test_sample_is_bounded_without_ids(spark, monkeypatch):
+    seen = []
+    fit = H.fit
+    monkeypatch.setattr(H, "fit", lambda sources: seen.append(sources) or fit(sources))
+    rows = [(None, "u", page(ARTICLE.replace("Title", f"Title {i % 500}"))) for i in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert H.extract_text(pages.selectExpr("*", "'x' AS text", "'y' AS n_chars"), labelled_pages=40).count() == 1000
+    assert 5 <= len(seen[0]) <= 80 and len(set(seen[0])) == len(seen[0])
