@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,29 @@ def artifact_path(root: str, env: str, horizon: int, version: str) -> str:
     return f"{root.rstrip('/')}/env={env}/horizon={horizon}/version={version}"
 
 
+def artifact_versions(spark: SparkSession, root: str, env: str, horizon: int) -> list[str]:
+    """The stored versions of a model, oldest first; numbers in their names count as numbers."""
+    parent = artifact_path(root, env, horizon, "").rsplit("/", 1)[0]
+    if not path_exists(spark, parent):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    listed = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    names = [status.getPath().getName() for status in listed if status.isDirectory()]
+    found = [name.removeprefix("version=") for name in names if name.startswith("version=")]
+    return sorted(found, key=lambda v: [(part.isdigit(), int(part) if part.isdigit() else 0, part) for part in re.split(r"(\d+)", v)])
+
+
+def load_version(
+    spark: SparkSession, root: str, env: str, horizon: int, version: str | None = None
+) -> tuple[LinearModel, Calibration]:
+    """The model of an environment and horizon: the given version, or the latest one."""
+    stored = artifact_versions(spark, root, env, horizon)
+    wanted = version if version is not None else (stored[-1] if stored else None)
+    if wanted not in stored:
+        raise ValueError(f"no version {wanted or ''} of the {env} model for {horizon} ms in {root}".replace("  ", " "))
+    return load_model(spark, artifact_path(root, env, horizon, wanted))
+
+
 def save_model(
     spark: SparkSession, model: LinearModel, calibration: Calibration, path: str
 ) -> None:

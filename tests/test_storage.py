@@ -155,6 +155,20 @@ def test_model_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path)).columns  # env, horizon and version are partition columns
 
 
+def test_latest_version_of_a_model(spark, tmp_path):
+    root = str(tmp_path / "models")
+    assert sinks.artifact_versions(spark, root, "dev", 50) == []
+    for env, version in [("dev", "v2"), ("dev", "v10"), ("dev", "v1"), ("prod", "v3")]:
+        sinks.save_model(spark, LinearModel({}, 0.5, version), Calibration(), sinks.artifact_path(root, env, 50, version))
+    assert sinks.artifact_versions(spark, root, "dev", 50) == ["v1", "v2", "v10"]
+    assert sinks.load_version(spark, root, "dev", 50)[0].version == "v10"
+    assert sinks.load_version(spark, root, "dev", 50, "v2")[0].version == "v2"
+    assert sinks.load_version(spark, root, "prod", 50)[0].version == "v3"
+    for bad in [("prod", 50, "v1"), ("dev", 200, None)]:
+        with pytest.raises(ValueError):
+            sinks.load_version(spark, root, *bad)
+
+
 def test_shot_dimension(spark):
     df = spark.createDataFrame([("s", 5), ("s", 1), ("t", 3)], "shot_id string, ts_unix_ns bigint")
     dim = shots.shots_dimension(df)
