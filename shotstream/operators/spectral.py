@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotstream.functions.validity import missing_as_null
@@ -50,22 +50,27 @@ def spectral_energy(telemetry: DataFrame, limits: Limits = DEFAULT_LIMITS) -> Da
     bins that have no mirror image, the sum of x and (even N) the alternating sum of x.
     """
     seq = chunks(_with_frame(telemetry), SERIES_KEY, ["ts_unix_ns"], MAX_WINDOW - 1, limits)
-    # ROWS bounds must be constants. Ordering by row number over frame length makes the last
-    # `frame` rows those less than 1 behind, so a constant RANGE bound serves every length.
-    local = F.row_number().over(seq.window)
-    scaled = seq.rows.withColumn("_i", local).withColumn(
-        "_u", F.col("_i") / F.greatest(F.col("frame"), F.lit(1)).cast("double")
-    )
-    parts = ", ".join(seq.parts)
-    frame = f"(PARTITION BY {parts} ORDER BY _u RANGE BETWEEN 0.9999D PRECEDING AND CURRENT ROW)"
-    sums = scaled.withColumns(
-        {
-            "_n": F.expr(f"count(value) OVER {frame}"),
-            "_sum": F.expr(f"sum(value) OVER {frame}"),
-            "_alt": F.expr(f"sum(if(_i % 2 = 0, value, -value)) OVER {frame}"),
-            "_sq": F.expr(f"sum(value * value) OVER {frame}"),
-        }
+    # Blocks of a frame's length: the last `frame` rows are those of the block before that stand after the
+    # row's place, and those of its own block up to it. So each row costs the same whatever the frame, nothing
+    # is subtracted, and all windows keep the partitioning of the series.
+    numbered = seq.rows.withColumn("_i", F.row_number().over(seq.window) - 1)
+    size = F.greatest(F.col("frame"), F.lit(1))
+    placed = numbered.withColumns({"_block": F.floor(F.col("_i") / size), "_at": F.col("_i") % size})
+    terms = {
+        "_sum": F.col("value"),
+        "_alt": F.when(F.col("_i") % 2 == 0, F.col("value")).otherwise(-F.col("value")),
+        "_sq": F.col("value") * F.col("value"),
+    }
+    block = Window.partitionBy(*seq.parts, "_block")
+    upto = block.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    after = block.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*seq.parts, "_at").orderBy("_block")
+    halves = placed.withColumns({name: F.sum(term).over(upto) for name, term in terms.items()}).withColumns(
+        {f"{name}_after": F.sum(term).over(after) for name, term in terms.items()}
     )
+    sums = halves.withColumns(
+        {name: F.col(name) + F.coalesce(F.lag(f"{name}_after").over(earlier), F.lit(0.0)) for name in terms}
+    ).withColumn("_n", F.least(F.col("_i") + 1, F.col("frame")))
     nyquist = F.when(F.col("_n") % 2 == 0, F.col("_alt") * F.col("_alt")).otherwise(F.lit(0.0))
     energy = (F.col("_n") * F.col("_sq") + F.col("_sum") * F.col("_sum") + nyquist) / 2.0
     usable = (F.col("frame") >= MIN_SAMPLES) & (F.col("_n") >= MIN_SAMPLES)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shotstream.functions.risk import calibrated, linear_score, wide_lookup
-from shotstream.operators import labels, training
+from shotstream.operators import labels, training, tree_shap
 from shotstream.plans import fixtures as fx
 from shotstream.plans.catalog import query, r, rounded
 from shotstream.plans.sql_views import score_sql, wide_names, with_views
@@ -46,6 +46,14 @@ def train_gbt(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "feature string, importance double"))
 
 
+@query("gbt_shap")
+def gbt_shap(spark, sf_dir):
+    """Mean effects of the features of a boosted model on its log-odds, over all vectors."""
+    rows = _table(spark, sf_dir)
+    model = training.fit_gbt(rows, wide_names(), LABEL, iterations=20)
+    return rounded(tree_shap.mean_effects(rows, tree_shap.leaves_of(spark, model), wide_names()))
+
+
 def _newton_sql(offset_penalty: float) -> str:
     """Newton steps on slope and offset; the slope's penalty is one half of its square."""
     return with_views(
