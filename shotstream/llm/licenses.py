@@ -5,7 +5,9 @@ the one with the smallest hash is a fingerprint, so any run of GRAM + WINDOW - 1
 a shorter template keeps its smallest. All three-word grams of a text are looked up in the inverted index
 of fingerprints, so no such run is missed. Hits of a template close to one diagonal (text position minus
 template position) are one candidate, and an alignment within BAND words of the diagonal gives the
-largest number of template words found in order, and where they stand.
+largest number of template words found in order, and where they stand. Words put into a template or taken
+out move what follows to another diagonal: neighbouring candidates up to SHIFT words (and half a template)
+apart are also aligned together, in a band that covers them, and count where that finds more words.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from shotstream.llm.common import batched_texts, map_batches, mix, split_words
 from shotstream.llm.license_texts import TEMPLATES
 
 GRAM, WINDOW, BAND = 3, 3, 16
+SHIFT = 64
 COVERAGE = 0.8
 
 
@@ -90,6 +93,15 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> t
     return best, first, last
 
 
+def _aligned(words: np.ndarray, ids: np.ndarray, first: int, last: int, band: int) -> tuple[int, int, int]:
+    """The best path around the diagonals ``first`` to ``last``, by position in the text."""
+    middle, room = (first + last) // 2, max(band, BAND)
+    low = max(0, middle - room)
+    high = max(low, middle + len(words) + room)
+    matched, start, end = align(words, ids[low:high], middle - low, band)
+    return matched, start + low, end + low
+
+
 def scan(ids: np.ndarray, index: Index, coverage: float = COVERAGE) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first, last word) of every occurrence, by template and position."""
     codes = gram_codes(ids)
@@ -112,14 +124,20 @@ def scan(ids: np.ndarray, index: Index, coverage: float = COVERAGE) -> list[tupl
                 groups[-1].append(d)
             else:
                 groups.append([d])
-        found = []
-        for group in groups:
-            middle = (group[0] + group[-1]) // 2
-            low = max(0, middle - BAND)
-            high = max(low, middle + len(words) + BAND)
-            matched, first, last = align(words, ids[low:high], middle - low, min(BAND, max(spread, 1)))
-            if matched >= coverage * len(words) - 1e-9:
-                found.append((matched, first + low, last + low))
+        alone = [_aligned(words, ids, group[0], group[-1], min(BAND, max(spread, 1))) for group in groups]
+        tried = list(alone)
+        reach, done = min(SHIFT, len(words) // 2), 0
+        for start, group in enumerate(groups):
+            end = start
+            while end + 1 < len(groups) and groups[end + 1][-1] - group[0] <= reach:
+                end += 1
+            if end > start and end >= done:  # no part of the last set of neighbours
+                done = end + 1
+                last = groups[end][-1]
+                together = _aligned(words, ids, group[0], last, (last - group[0]) // 2 + max(spread, 1))
+                if together[0] > max(matched for matched, *_ in alone[start : end + 1]):
+                    tried.append(together)
+        found = [one for one in tried if one[0] >= coverage * len(words) - 1e-9]
         # Of overlapping finds the fullest, then the first, stays.
         taken: list[tuple[int, int, int]] = []
         for matched, first, last in sorted(found, key=lambda x: (-x[0], x[1])):
@@ -162,7 +180,8 @@ def scan_licenses(
 
     ``coverage`` is the share of template words found in order; the span counts the text's words from 0,
     its end excluded. Null and empty texts have none; repeated rows are scanned each; other columns are
-    left out. Overlapping occurrences of one template are reported once.
+    left out. Overlapping occurrences of one template are reported once. Inserts and gaps of up to SHIFT words,
+    and up to half the template, are bridged.
     """
     index = docs.sparkSession.sparkContext.broadcast(Index(templates))
     kind = docs.schema["doc_id"].dataType.simpleString()

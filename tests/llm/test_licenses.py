@@ -47,6 +47,27 @@ def test_edited_template():
     assert found(" ".join(words[:60])) == [] and found("the of the and to the") == []
 
 
+def test_inserts_and_gaps_are_bridged():
+    size = len(split_words(TEMPLATES["mit"].encode()))
+    words = [w.decode() for w in split_words(TEMPLATES["mit"].encode())]
+    for place in (20, size // 2, size - 20):
+        for more in (16, 17, 20, 40, 64):
+            text = " ".join(["x"] * 5 + words[:place] + ["zzz"] * more + words[place:] + ["y"])
+            assert found(text) == [("mit", size, 5, 4 + size + more)]
+    ((name, matched, _, _),) = found(" ".join(words[:80] + words[110:]))
+    assert name == "mit" and matched == size - 30
+    twice = words[:60] + ["zzz"] * 20 + words[60:110] + ["qqq"] * 20 + words[110:]
+    assert found(" ".join(twice)) == [("mit", size, 0, size + 39)]
+    # Two copies stay two, however close.
+    assert [x[1:] for x in found(" ".join(words + words))] == [(size, 0, size - 1), (size, size, 2 * size - 1)]
+    assert [x[1:] for x in found("Released under the MIT License. " * 2)] == [(5, 0, 4), (5, 5, 9)]
+
+
+def test_texts_that_hold_others():
+    both = {name: (m, len(split_words(TEMPLATES[name].encode()))) for name, m, _, _ in found(TEMPLATES["bsd-3-clause"])}
+    assert both["bsd-3-clause"][0] == both["bsd-3-clause"][1] and both["bsd-2-clause"][0] == both["bsd-2-clause"][1]
+
+
 def test_repeats_are_reported_each():
     assert [x[2] for x in found("All rights reserved. " * 3 + "x all rights reserved")] == [0, 3, 6, 10]
 
