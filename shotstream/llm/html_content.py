@@ -57,14 +57,15 @@ TAGS = {
     "article": 3.0, "main": 2.0, "p": 0.5, "h1": 0.3, "h2": 0.2, "h3": 0.2, "blockquote": 0.5, "pre": 0.5,
     "nav": -5.0, "footer": -5.0, "header": -4.0, "aside": -5.0, "form": -5.0, "li": -0.3, "menu": -5.0, "dialog": -5.0,
 }
-CLASSES = {
+CLASSES = {  # words within longer ones (football, shareholders, correspondent) say nothing
     "advert": (-5.0, r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*)(?:[^a-z]|$)"),
-    "menu": (-5.0, r"nav|menu|breadcrumb|pagination|pager|toolbar|skip-?link"),
-    "comments": (-5.0, r"comment|repl(?:y|ies)|disqus|discussion|respond"),
-    "side": (-5.0, r"side-?bar|related|recommend|widget|share|social|subscribe|newsletter|signup|sign-up|login"),
-    "foot": (-5.0, r"foot|copyright|legal|disclaimer"),
-    "head": (-3.0, r"(?:site|page|top|global)-?(?:head|header|bar)|masthead|logo"),
-    "notice": (-5.0, r"cookie|consent|notice|popup|pop-up|modal|gdpr|alert|overlay|paywall"),
+    "menu": (-5.0, r"nav(?:bar|igation|s)?(?![a-z])|menu(?:s|bar|items?)?(?![a-z])|breadcrumb|pagination|pager(?![a-z])|toolbar|skip-?link"),
+    "comments": (-5.0, r"comment(?!ar|at)|(?<![a-z])repl(?:y|ies)(?![a-z])|disqus|discussion|(?<![a-z])respond(?![a-z])"),
+    "side": (-5.0, r"side-?bar|(?<![a-z])related|recommend|widget|(?<![a-z])shar(?:e|ing)(?:bar|box|buttons?|links?|tools)?(?![a-z])"
+        r"|social(?:bar|icons?|links?|media|share)?(?![a-z])|subscribe(?!r)|newsletter|signup|sign-up|login"),
+    "foot": (-5.0, r"foot(?:er\w*)?(?![a-z])|copyright|(?:^|\s)legal(?:\s|$)|legal-?(?:info|links|notice|terms|text)|disclaimer"),
+    "head": (-3.0, r"(?:site|page|top|global)-?(?:head|header|bar)|masthead|(?:(?<![a-z])|site|brand|page)logos?(?![a-z])"),
+    "notice": (-5.0, r"cookie|consent(?![a-z])|notices?(?![a-z])|popup|pop-up|modal(?!i)|gdpr|alert(?:s|bar|box)?(?![a-z])|overlay|paywall"),
     "body": (1.5, r"article|content|(?:^|[^a-z])post(?:[^a-z]|$)|entry|story|main|body"),
 }
 COMPILED = {name: re.compile(pattern) for name, (_, pattern) in CLASSES.items()}

@@ -41,6 +41,28 @@ def test_cases(model):
             assert got == want or source == page(ARTICLE)[:-40] and got.startswith(want[:40]), source
 
 
+def test_classes_are_words():
+    def classes(names):
+        return {n for n, pattern in H.COMPILED.items() if n in H.NEGATIVE and pattern.search(names)}
+
+    for names in (
+        "football-report", "legal-news", "navy-blue story", "footage", "shareholders", "commentary", "correspondent",
+        "unrelated", "modality", "catalogo", "subscriber-story", "footprint", "noticeable",
+    ):
+        assert not classes(names), names
+    wanted = {
+        "menu": "nav navbar main-nav mainnav navigation site-menu menubar nav_top",
+        "foot": "footer site-footer pagefooter foot legal legal-notice",
+        "comments": "comments comment-list usercomments commentform reply",
+        "side": "sidebar related-posts share-buttons sharing social-links social subscribe",
+        "notice": "cookie-notice notice alert alertbox modal-open consent",
+        "head": "logo site-logo sitelogo page-header",
+    }
+    for kind, words in wanted.items():
+        for names in words.split():
+            assert kind in classes(names), names
+
+
 def test_marginals_equal_enumeration(model):
     import itertools
     import math
