@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shotstream.functions.validity import missing_as_null
 from shotstream.operators.ewm import ewm_zscore
 from shotstream.operators.robust import anomaly
-from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, chunks, with_position
+from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, chunks, measured, with_position
 from shotstream.schema import SERIES_KEY, WINDOWS
 
 # Statistic names that become part of feature names.
@@ -314,6 +314,7 @@ def all_features(
 
     Each sample gets a number of its own, so samples that repeat a key stay as many as they are.
     """
+    limits = measured(telemetry, SERIES_KEY, limits)
     numbered = with_position(telemetry, SERIES_KEY, ["ts_unix_ns", "value"], limits).withColumnRenamed("pos", "_at")
     key = [*SERIES_KEY, "_at"]
     base = offline_features(numbered, windows_ms, rate_hz, limits=limits)
@@ -322,6 +323,16 @@ def all_features(
     return base.join(scores, key, "left").join(odd, key, "left").drop("_at")
 
 
+def _bucket(bucket_ns: int) -> Column:
+    return F.expr(f"(ts_unix_ns div {bucket_ns}L) * {bucket_ns}L")
+
+
+def grid_steps(telemetry: DataFrame, bucket_ns: int, channels: Sequence[str]) -> DataFrame:
+    """The keys of the rows that ``pivot_features`` makes, one row each."""
+    mine = telemetry.filter(F.col("channel_name").isin(*channels))
+    return mine.select("shot_id", _bucket(bucket_ns).alias("ts_unix_ns")).distinct()
+
+
 def pivot_features(
     features: DataFrame,
     bucket_ns: int,
@@ -330,7 +341,7 @@ def pivot_features(
 ) -> DataFrame:
     """Wide vectors on a time grid: the last row of each channel in each bucket, one struct column
     per channel. Channels without a sample in the bucket are null."""
-    bucket = F.expr(f"(ts_unix_ns div {bucket_ns}L) * {bucket_ns}L")
+    bucket = _bucket(bucket_ns)
     row = F.struct(*columns)
     last = []
     for name in channels:

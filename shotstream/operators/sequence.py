@@ -14,7 +14,7 @@ wrong when one shot holds a large part of the data, so every ordered operator co
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -25,19 +25,33 @@ from shotstream.session import work_dir
 
 @dataclass(frozen=True)
 class Limits:
-    """Row budgets of one task group."""
+    """Row budgets of one task group. ``known`` holds bounds on the rows of the largest key, by key columns;
+    operators that get one do not count again."""
 
     key_rows: int = 250_000
     slice_rows: int = 50_000
     chunk_rows: int = 50_000
+    known: tuple[tuple[tuple[str, ...], int], ...] = ()
 
 
 DEFAULT_LIMITS = Limits()
 
 
 def largest_key_fits(df: DataFrame, keys: Sequence[str], limits: Limits) -> bool:
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= limits.key_rows
+    return _largest_key(df, keys, limits) <= limits.key_rows
+
+
+def _largest_key(df: DataFrame, keys: Sequence[str], limits: Limits) -> int:
+    known = dict(limits.known).get(tuple(keys))
+    return known if known is not None else df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def measured(df: DataFrame, keys: Sequence[str], limits: Limits) -> Limits:
+    """The limits with the rows of the largest key of ``df``, for a chain of operators none of which adds
+    rows to a key: counted once, at the source."""
+    if tuple(keys) in dict(limits.known):
+        return limits
+    return replace(limits, known=(*limits.known, (tuple(keys), _largest_key(df, keys, limits))))
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], limits: Limits) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shotstream.functions.risk import Calibration, LinearModel, calibrated, linear_score, wide_lookup
 from shotstream.operators import evaluate, features, labels
-from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, carry_forward
+from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, carry_forward, measured
 from shotstream.operators.splits import shot_split
 from shotstream.schema import CHANNELS, HORIZONS_MS, SERIES_KEY, WINDOWS
 from shotstream.session import work_dir
@@ -44,8 +44,10 @@ def training_table(
     known = telemetry.select(*SERIES_KEY, "ts_unix_ns", "value")
     per_sample = features.all_features(known, windows_ms, rate_hz, limits)
     grid = features.pivot_features(per_sample, bucket_ns, channels, columns)
+    # The rows of the grid, counted without the features.
+    steps = features.grid_steps(known, bucket_ns, channels)
     filled = carry_forward(
-        grid, ["shot_id"], ["ts_unix_ns"], {c: F.col(c) for c in channels}, limits
+        grid, ["shot_id"], ["ts_unix_ns"], {c: F.col(c) for c in channels}, measured(steps, ["shot_id"], limits)
     )
     wide = features.flatten_features(filled, channels, columns)
     timed = labels.time_to_disruption(wide, shots)

@@ -37,6 +37,16 @@ def test_every_row_is_owned_once_and_sees_its_predecessors(df, limits, lookback)
     )
 
 
+def test_a_measured_key_is_not_counted_again(df):
+    most = int(PDF.groupby(["shot_id", "channel_name"]).size().max())
+    for rows, fits in ((most, True), (most - 1, False)):
+        known = sq.measured(df, SERIES_KEY, sq.Limits(key_rows=rows))
+        assert sq.measured(None, SERIES_KEY, known) is known
+        assert sq.largest_key_fits(None, SERIES_KEY, known) is fits
+    assert sq.largest_key_fits(df, ["shot_id"], known) == (PDF.groupby("shot_id").size().max() < most)
+    assert sq.measured(df.limit(0), SERIES_KEY, sq.Limits()).known == ((tuple(SERIES_KEY), 0),)
+
+
 def test_chunks_are_bounded(df):
     tiny = sq.Limits(key_rows=1, slice_rows=7, chunk_rows=16)
     seq = sq.chunks(df, SERIES_KEY, ["ts_unix_ns"], 10, tiny)
