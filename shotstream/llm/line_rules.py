@@ -117,10 +117,12 @@ def _fails(line: Column) -> Column:
 
 
 def clean_documents(docs: DataFrame, min_words: int = 50, max_loss: float = 0.5) -> DataFrame:
-    """The kept documents with their failing lines removed, in the columns of ``docs``."""
+    """The kept documents with their failing lines removed, in the columns of ``docs``; ``n_chars`` is counted
+    anew, others pass through whatever their names."""
+    given = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"given_{c}") for c in docs.columns])
     # The row number holds the filter above the measures; pushed below them it would measure again, and
     # split the text once more for every word.
-    verdicts = line_verdicts(docs, min_words, max_loss).withColumn("__row", F.monotonically_increasing_id())
+    verdicts = line_verdicts(given, min_words, max_loss).withColumn("__row", F.monotonically_increasing_id())
     kept = verdicts.filter(F.col("kept") & (F.col("__row") >= 0))
     return kept.select(
         *[
@@ -128,8 +130,7 @@ def clean_documents(docs: DataFrame, min_words: int = 50, max_loss: float = 0.5)
             if c == "text"
             else F.length("clean_text").cast(docs.schema[c].dataType).alias(c)
             if c == "n_chars"
-            else F.col(f"`{c}`")
+            else F.col(f"`given_{c}`").alias(c)
             for c in docs.columns
-            if c in kept.columns
         ]
     )

@@ -62,3 +62,30 @@ def test_model_file_is_a_parameter(make, tmp_path):
     copy = tmp_path / "m.model"
     copy.write_bytes(Path(pieces.MODEL_FILE).read_bytes())
     assert pieces.encode_documents(make(["a b"]), str(copy)).first()["decoded"] == "a b"
+
+
+def test_stages_take_odd_rows(spark, clashing):
+    """Null, empty, repeated and very long rows with columns that have the operators' own names."""
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    given = given.filter("doc_id < 60")
+    english = given.filter("lang = 'en' AND length(text) > 2000").orderBy("doc_id").first()
+    long_text = "\n".join(" ".join(f"the{i} of{j} and{i * j}" for j in range(20)) + "." for i in range(500))
+    odd = [
+        (9001, None, None, None, None),
+        (9002, "", "en", "s", 0),
+        (9003, "½ ² 123 …", None, "s", 9),
+        (None, None, None, None, None),
+        (9005, long_text, "en", "s", len(long_text)),
+        (9006, "x" * 200_000, "en", "s", 200_000),
+        tuple(english),
+        tuple(english),
+    ]
+    docs = clashing(given.unionByName(spark.createDataFrame(odd, given.schema)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stored(stage(spark, docs, SF_DIR), name)
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.select("score", "kept", "node", "words", "n_words").distinct().collect()} == {("x",) * 5}
+        docs = out
+    ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    assert len(ids) == len(set(ids)) and not {9001, 9002, 9003, 9006, None} & set(ids)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() == len(ids) > 0
