@@ -6,11 +6,14 @@ the block probability of such counts, and the weighted probability of a context
 with the product of its longer contexts', half and half, from the longest contexts up. After training
 the mixture is fixed, so the probability of a byte follows from its context alone and is tabulated.
 
-The tree branches into a longer context where that holds at least ``share`` of the training bytes; the
-rarer ones of a context share one branch, so the tree is complete, probabilities add up to one, and at
-most ``1 / share`` contexts of each length exist, however large the corpus. Counts are taken over all
-training texts and combined in Spark; only the tree, of known size, is sent to the executors. A decision
-without training data is predicted as one context shorter.
+The tree holds every context of the training texts. Counts are combined in Spark, and so is the tree:
+contexts with the same HEAD latest bytes are weighed in one task, the fewer shorter ones on the driver,
+and every gram (DEPTH bytes and the byte that follows) of any text gets its log2 probability. The
+SENT_GRAMS most frequent ones go to all executors, which score the texts; the rest of a text's grams are
+joined with theirs. A decision without training data is predicted as one context shorter.
+
+A model of given size is made on request: with ``share`` the tree branches into a longer context only where
+that holds such a share of the training bytes, and the rarer ones of a context share one branch.
 """
 
 from __future__ import annotations
@@ -27,12 +30,16 @@ from pyspark.sql import functions as F
 from shotstream.llm.common import batched_texts, map_batches, remainder, stored
 
 DEPTH = 5
-SHARE = 2.0**-15
+HEAD = 3  # contexts with so many latest bytes in common are weighed together
 END = 255  # no UTF-8 text has this byte; it ends a text and stands before its first byte
 SENT_WORDS = 200_000  # so many of the most frequent words go to all executors; others are joined
 SENT_BYTES = 64  # so are longer words, as whole paragraphs are in writing without spaces
 COUNT_BYTES = 6 << 20  # text counted at a time
 MOST_GRAMS = 1 << 20  # grams a task holds before it passes them on
+SENT_GRAMS = 1 << 20  # so many of the most frequent grams go to all executors; others are joined
+PATHS = 1 << 18  # grams weighed at a time, whole heads
+GRAM_KEY = b"\n"  # before the bytes of a gram in a join with words, which hold no white space
+HALF = np.log(0.5)
 COLUMNS = 16  # decision nodes worked on at a time when the tree is built
 MOST_WORDS = 500_000  # words counted in a task before it passes them on
 
@@ -64,8 +71,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told_words():
         return told(list(words), [None] * len(words), list(words.values()))
 
-    def merged(codes, counts, texts):
+    def merged(codes, counts, texts, weight=1):
+        if not texts:
+            return codes, counts
         fresh, n = np.unique(_packed(texts), return_counts=True)
+        n *= weight
         both, where = np.unique(np.concatenate((codes, fresh)), return_inverse=True)
         return both, np.bincount(where, np.concatenate((counts, n))).astype(np.int64)
 
@@ -73,25 +83,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return told(pa.nulls(len(codes), pa.binary()), codes, counts)
 
     nothing = np.zeros(0, np.int64)
-    waiting, size, codes, counts = [], 0, nothing, nothing
-    for _, texts in batched_texts(batches, 1 << 20):
-        for text in texts:
+    waiting, asked, size, codes, counts = [], [], 0, nothing, nothing
+    for batch, texts in batched_texts(batches, 1 << 20):
+        for text, held in zip(texts, batch.column("held_out").to_pylist()):
             text = text.lower()
+            size += len(text)
+            if held:
+                asked.append(text)
+                continue
             words.update(text.split())
             words[b""] += 1  # the end of a text
             waiting.append(text)
-            size += len(text)
         if len(words) > MOST_WORDS:
             yield told_words()
             words.clear()
         if size > COUNT_BYTES:
-            codes, counts = merged(codes, counts, waiting)
-            waiting, size = [], 0
+            codes, counts = merged(*merged(codes, counts, waiting), asked, 0)
+            waiting, asked, size = [], [], 0
             if len(codes) > MOST_GRAMS:
                 yield told_grams(codes, counts)
                 codes, counts = nothing, nothing
-    if waiting:
-        codes, counts = merged(codes, counts, waiting)
+    codes, counts = merged(*merged(codes, counts, waiting), asked, 0)
     if len(codes):
         yield told_grams(codes, counts)
     if words:
@@ -108,6 +120,174 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - shift
 
 
+def _weigh(key, zeros, ones, below, shorter, steps: int) -> list[tuple]:
+    """Decisions of the contexts in ``key`` and of those up to ``steps`` bytes shorter, the shortest first.
+
+    Per length: keys, zeros, ones, the weight of the own estimate, the logarithm of the mixture, and where
+    each decision stands among the next shorter ones. ``below`` sums the mixtures of the longer contexts."""
+    made = []
+    for step in range(steps + 1):
+        own = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - np.log(np.pi)
+        mixed = own if below is None else HALF + np.logaddexp(own, below)
+        stop = np.ones(len(key)) if below is None else np.exp(HALF + own - mixed)
+        above, up = np.unique(shorter(key), return_inverse=True) if step < steps else (None, None)
+        made.append((key, zeros, ones, stop, mixed, up))
+        if step < steps:
+            key = above
+            zeros, ones, below = (np.bincount(up, x, len(above)).astype(float) for x in (zeros, ones, mixed))
+    return made[::-1]
+
+
+def _mix(made: list[tuple], state: tuple) -> tuple:
+    """(own estimate, chance of a one so far, weight left) of the longest contexts, from those of the contexts
+    above the first."""
+    one, sure, left = state
+    for i, (_, zeros, ones, stop, _, up) in enumerate(made):
+        if i:
+            one, sure, left = one[up], sure[up], left[up]
+        one = np.where(zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1), one)
+        sure, left = sure + left * stop * one, left * (1 - stop)
+    return one, sure, left
+
+
+def _by_head(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns path, gram and n of sorted paths, cut between heads into about PATHS rows."""
+    waiting, rows, most = [], 0, PATHS
+    for batch in batches:
+        waiting.append([batch.column(name).to_numpy() for name in ("path", "gram", "n")])
+        rows += batch.num_rows
+        if rows > most:
+            columns = [np.concatenate(x) for x in zip(*waiting)]
+            head = columns[0] >> 8 * (DEPTH + 1 - HEAD)
+            cut = int(np.searchsorted(head, head[-1]))
+            if cut:
+                yield [x[:cut] for x in columns]
+            waiting, rows = [[x[cut:] for x in columns]], rows - cut
+            most = max(PATHS, 2 * rows)
+    if rows:
+        yield [np.concatenate(x) for x in zip(*waiting)]
+
+
+def _decisions(path: np.ndarray, n: np.ndarray, level: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """The decisions of a level from the longest contexts up to HEAD bytes; where each path's stands among
+    those of the longest; the numbers in the next shorter contexts of those of the shortest."""
+    bit = path >> (7 - level) & 1
+
+    def shorter(key):
+        return key >> (level + 8) << level | key & ((1 << level) - 1)
+
+    key, place = np.unique(path >> (8 - level), return_inverse=True)
+    zeros, ones = np.bincount(place, n * (1 - bit), len(key)), np.bincount(place, n * bit, len(key))
+    made = _weigh(key, zeros, ones, None, shorter, DEPTH - HEAD)
+    first = made[0][0]
+    return made, place, first >> (level + 8) << 8 | (1 << level) - 1 + (first & ((1 << level) - 1))
+
+
+def _sum_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for path, _, n in _by_head(batches):
+        for level in range(8):
+            made, _, slots = _decisions(path, n, level)
+            _, zeros, ones, _, mixed, _ = made[0]
+            slot, up = np.unique(slots, return_inverse=True)
+            sums = [np.bincount(up, x, len(slot)) for x in (zeros, ones, mixed)]
+            yield pa.record_batch([slot, *sums], names=["slot", "zeros", "ones", "below"])
+
+
+def _tell_chances(top):
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, *state = top.value
+        for path, gram, n in _by_head(batches):
+            log2 = np.zeros(len(path))
+            for level in range(8):
+                made, place, slots = _decisions(path, n, level)
+                at = np.searchsorted(known, slots)
+                _, chance, _ = _mix(made, tuple(x[at] for x in state))
+                chance = np.clip(chance, 1e-7, 1 - 1e-7)[place]
+                log2 += np.log2(np.where(path >> (7 - level) & 1, chance, 1 - chance))
+            yield pa.record_batch([gram, n, log2.astype(np.float32)], names=["gram", "n", "log2"])
+
+    return tell
+
+
+def gram_chances(counts: DataFrame) -> DataFrame:
+    """(gram, n, log2) of every gram, also those that training did not see (n = 0), in the tree of all
+    contexts. Stored.
+
+    A path is a gram with its latest byte first, so the contexts of a head lie side by side. What reaches the
+    driver are sums for the contexts of HEAD - 1 bytes that occur, at most 255 decisions each.
+    """
+    gram = F.col("gram")
+    path = gram.bitwiseAND(F.lit(255))
+    for d in range(1, DEPTH + 1):
+        path = path + F.shiftleft(F.shiftright(gram, 8 * d).bitwiseAND(F.lit(255)), 8 * (DEPTH + 1 - d))
+    paths = (
+        counts.filter("gram IS NOT NULL").select(path.alias("path"), "gram", "n")
+        .repartition(F.shiftright("path", 8 * (DEPTH + 1 - HEAD))).sortWithinPartitions("path")
+    )
+    sums = map_batches(paths, _sum_heads, "slot bigint, zeros double, ones double, below double", 1 << 16)
+    rows = sums.groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
+    rows = rows.toArrow().sort_by("slot")
+    slot, zeros, ones, below = (rows[name].to_numpy() for name in ("slot", "zeros", "ones", "below"))
+    made = _weigh(slot, zeros, ones, below, lambda key: key >> 16 << 8 | key & 255, HEAD - 1)
+    n = len(made[0][0])
+    state = _mix(made, (np.full(n, 0.5), np.zeros(n), np.ones(n)))
+    top = counts.sparkSession.sparkContext.broadcast((slot, *state))
+    return stored(map_batches(paths, _tell_chances(top), "gram bigint, n bigint, log2 float", 1 << 16), "chances")
+
+
+@dataclass(frozen=True)
+class Chances:
+    """log2 probabilities of grams in a table of open addresses; an empty place holds -1."""
+
+    grams: np.ndarray
+    log2: np.ndarray
+
+    @staticmethod
+    def of(grams: np.ndarray, log2: np.ndarray) -> Chances:
+        size = 1 << (2 * len(grams) + 1).bit_length()
+        made = Chances(np.full(size, -1, np.int64), np.zeros(size, np.float32))
+        at, rest = made.places(grams), np.arange(len(grams))
+        while len(rest):
+            free = rest[made.grams[at[rest]] < 0]
+            made.grams[at[free]] = grams[free]
+            here = made.grams[at[rest]] == grams[rest]
+            made.log2[at[rest[here]]] = log2[rest[here]]
+            rest = rest[~here]
+            at[rest] = (at[rest] + 1) & (size - 1)
+        return made
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        bits = len(self.grams).bit_length() - 1
+        return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """log2 of each gram, NaN for those that are not here."""
+        at = self.places(grams)
+        there = self.grams[at]
+        found = self.log2[at]
+        rest = np.flatnonzero(there != grams)
+        found[rest] = np.nan
+        rest = rest[there[rest] >= 0]
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (len(self.grams) - 1)
+            there = self.grams[at[rest]]
+            here = there == grams[rest]
+            found[rest[here]] = self.log2[at[rest[here]]]
+            rest = rest[~here & (there >= 0)]
+        return found
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log2 probability of the grams of each text that are here; for the others the number of the text,
+        the gram, and how often it occurs there."""
+        packed = _packed(texts)
+        ends = np.cumsum([len(text) + 1 for text in texts])
+        bits = self.find(packed).astype(np.float64)
+        lost = np.flatnonzero(np.isnan(bits))
+        bits[lost] = 0
+        rest, times = np.unique(np.searchsorted(ends, lost, "right") << 48 | packed[lost], return_counts=True)
+        return np.add.reduceat(bits, ends - [len(text) + 1 for text in texts]), rest >> 48, rest & ((1 << 48) - 1), times
+
+
 @dataclass(frozen=True)
 class Tree:
     """``child[node, byte]`` leads one byte further back; a negative value -1 - r means row r of ``log2``,
@@ -116,17 +296,16 @@ class Tree:
     child: np.ndarray
     log2: np.ndarray
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log2 probability of each text and its end."""
-        if not texts:
-            return np.zeros(0)
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log2 probability of each text and its end; no gram is left to be joined."""
         stream, at, lengths = grams(texts)
         node = np.zeros(len(at), np.int32)
         for d in range(1, DEPTH + 1):
             step = self.child[np.maximum(node, 0), stream[at - d]]
             node = np.where(node < 0, node, step)
         bits = self.log2[-1 - node, stream[at]].astype(np.float64)
-        return np.add.reduceat(bits, np.concatenate(([0], np.cumsum(lengths)[:-1])))
+        nothing = np.zeros(0, np.int64)
+        return np.add.reduceat(bits, np.concatenate(([0], np.cumsum(lengths)[:-1]))), nothing, nothing, nothing
 
 
 def build_tree(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> Tree:
@@ -167,7 +346,6 @@ def build_tree(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.n
         np.subtract.at(rest, place[child_of], counts[1:])
         return np.concatenate((counts, rest))
 
-    half = np.log(0.5)
     log2 = np.zeros((len(leaves), 1), np.float32)
     for level in range(8):
         chances = np.empty((len(leaves), 1 << level), np.float32)
@@ -179,10 +357,10 @@ def build_tree(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.n
             weighted, below = own.copy(), np.zeros_like(own)
             for mine in levels[::-1]:
                 mixed = mine[is_inner[mine]]
-                weighted[mixed] = half + np.logaddexp(own[mixed], below[mixed])
+                weighted[mixed] = HALF + np.logaddexp(own[mixed], below[mixed])
                 if mine[0]:
                     np.add.at(below, parent[mine], weighted[mine])
-            stop = np.where(is_inner[:, None], np.exp(half + own - weighted), 1.0)
+            stop = np.where(is_inner[:, None], np.exp(HALF + own - weighted), 1.0)
             one = np.where(seen > 0, (ones + 0.5) / (seen + 1), np.nan)
             one[0] = (ones[0] + 0.5) / (seen[0] + 1)
             sure, left = np.zeros_like(one), np.ones_like(one)
@@ -205,16 +383,17 @@ def build_tree(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.n
     return Tree(child, log2)
 
 
-def count_corpus(training: DataFrame) -> DataFrame:
+def count_corpus(docs: DataFrame) -> DataFrame:
     """Counts (word, null, n) of words, the empty word being the ends, and (null, gram, n) of bytes
-    together with the DEPTH bytes before. Stored."""
-    counts = map_batches(training.select("text"), _count, "word binary, gram bigint, n bigint")
+    together with the DEPTH bytes before, in texts that are not held out; grams that only texts held out
+    have come with n = 0. Stored."""
+    counts = map_batches(docs.select("text", "held_out"), _count, "word binary, gram bigint, n bigint")
     return stored(counts.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
 
 
-def fit_tree(counts: DataFrame, share: float = SHARE) -> Tree:
-    """The tree over byte counts; what reaches the driver is bounded by ``share``."""
-    rows = counts.filter("gram IS NOT NULL")
+def fit_tree(counts: DataFrame, share: float) -> Tree:
+    """The tree of the contexts that hold ``share`` of the bytes, which bounds what reaches the driver."""
+    rows = counts.filter("gram IS NOT NULL AND n > 0")
     total = rows.agg(F.sum("n")).first()[0] or 0
     levels = rows.select(
         F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"), F.col("gram"), "n"
@@ -234,13 +413,21 @@ def fit_tree(counts: DataFrame, share: float = SHARE) -> Tree:
     return build_tree(*(rows[name].to_numpy() for name in ("depth", "context", "byte", "n")))
 
 
-def _scorer(tree_handle, words_handle, unseen: float):
+def _gram_keys(grams: np.ndarray) -> pa.Array:
+    keys = np.empty((len(grams), 1 + 6), np.uint8)
+    keys[:, 0] = GRAM_KEY[0]
+    keys[:, 1:] = grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    return pa.Array.from_buffers(pa.binary(7), len(grams), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+
+
+def _scorer(model_handle, words_handle):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = tree_handle.value, words_handle.value
+        model, known = model_handle.value, words_handle.value
         names = ["key", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "times"]
-        for batch, texts in batched_texts(batches):
+        for batch, texts in batched_texts(batches, 1 << 20):
             texts = [text.lower() for text in texts]
-            scores = tree.score(texts) * np.log10(2.0)
+            scores, of, grams_, often = model.score(texts)
+            scores = scores * np.log10(2.0)
             ids = batch.column("row").to_pylist()
             keys, rows, times, tokens, sure, base = [], [], [], [], [], []
             for row, text in zip(ids, texts):
@@ -259,38 +446,49 @@ def _scorer(tree_handle, words_handle, unseen: float):
                         logs += n * value
                 sure.append(seen)
                 base.append(logs)
-            n, more = len(texts), len(keys)
+            n = len(texts)
             whole = [
                 pa.array([b" %d" % row for row in ids], pa.binary()), batch.column("row"), batch.column("doc_id"),
                 batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(sure, pa.int64()),
                 pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array([0] * n, pa.int64()),
             ]
             yield pa.record_batch(whole, names=names)
-            if more:
-                nothing = [pa.nulls(more, whole[i].type) for i in range(2, 8)]
-                yield pa.record_batch(
-                    [pa.array(keys, pa.binary()), pa.array(rows, pa.int64()), *nothing, pa.array(times, pa.int64())],
-                    names=names,
-                )
+            for key, row, count in (
+                (pa.array(keys, pa.binary()), pa.array(rows, pa.int64()), pa.array(times, pa.int64())),
+                (_gram_keys(grams_), batch.column("row").take(pa.array(of)), pa.array(often, pa.int64())),
+            ):
+                if len(key):
+                    nothing = [pa.nulls(len(key), whole[i].type) for i in range(2, 8)]
+                    yield pa.record_batch([key, row, *nothing, count], names=names)
 
     return score
 
 
-def score_documents(docs: DataFrame, share: float = SHARE, modulus: int = 7, held: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, share: float = 0.0, modulus: int = 7, held: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(doc_id) modulo ``modulus`` is not ``held``; scores all. Texts are
     lower-cased in A-Z. Tokens are words between ASCII white space and one end per text. ``base_score``
     adds log10((c + 1) / (N + V + 1)) over tokens; ``score`` is the tree's log10 probability of the bytes
     and the end. A null text is empty, a null id counts as the empty text; repeated rows are scored each.
-    Without training rows every decision has a probability of a half and c, N and V are 0.
+    With ``share`` the tree is cut as the module says. Without training rows every decision has a probability of a half and c, N and V are 0.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", (remainder(modulus) == held).alias("held_out"))
-    counts = count_corpus(rows.filter(~F.col("held_out")))
+    counts = count_corpus(rows)
     words = counts.filter("word IS NOT NULL").select("word", F.col("n").alias("c"))
     tokens, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = spark.sparkContext.broadcast(fit_tree(counts, share))
+    rest = words.select("word", "c", F.lit(None).cast("float").alias("log2"))
+    if share:
+        model = fit_tree(counts, share)
+    else:
+        chances = gram_chances(counts)
+        first = chances.orderBy(F.desc("n"), "gram").limit(SENT_GRAMS).toArrow()
+        model = Chances.of(first["gram"].to_numpy(), first["log2"].to_numpy())
+        if len(first) == SENT_GRAMS:
+            key = F.concat(F.lit(GRAM_KEY), F.unhex(F.lpad(F.hex("gram"), 12, "0")))
+            rarer = chances.filter(F.col("n") <= first["n"][-1].as_py())
+            rest = rest.unionByName(rarer.select(key.alias("word"), F.lit(None).cast("bigint").alias("c"), "log2"))
     unit = float(np.log10(tokens + kinds + 1))
     frequent = words.filter(F.octet_length("word") <= SENT_BYTES).orderBy(F.desc("c"), "word").limit(SENT_WORDS).toArrow()
     values = np.log10(np.array(frequent["c"], np.float64) + 1) - unit
@@ -298,12 +496,12 @@ def score_documents(docs: DataFrame, share: float = SHARE, modulus: int = 7, hel
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = map_batches(
         rows.withColumn("row", F.monotonically_increasing_id()),
-        _scorer(tree, sent, -unit),
+        _scorer(spark.sparkContext.broadcast(model), sent),
         f"key binary, row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint,"
         " base double, score double, times bigint",
     )
-    # Words that were not sent are joined with their counts; every document brings a key of its own.
-    joined = parts.join(words, F.col("key") == F.col("word"), "left")
+    # Words and grams that were not sent are joined with theirs; every document brings a key of its own.
+    joined = parts.join(rest, F.col("key") == F.col("word"), "left")
     return joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
@@ -311,7 +509,11 @@ def score_documents(docs: DataFrame, share: float = SHARE, modulus: int = 7, hel
         (F.sum("n_known") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
         F.lit(int(tokens)).cast("bigint").alias("train_tokens"),
         (
-            F.sum("base") + F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(unit)))
+            F.sum("base")
+            + F.sum(
+                F.when(F.col("log2").isNull(), F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(unit)))
+                .otherwise(0.0)
+            )
         ).alias("base_score"),
-        F.sum("score").alias("score"),
+        (F.sum("score") + F.sum(F.coalesce(F.col("times") * F.col("log2") * F.log10(F.lit(2.0)), F.lit(0.0)))).alias("score"),
     ).drop("row")

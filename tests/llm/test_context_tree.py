@@ -104,6 +104,24 @@ def test_words_that_are_joined_count_the_same(make, monkeypatch):
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 9)) for r in C.score_documents(docs).collect()} == whole
 
 
+def test_rare_contexts_keep_their_own_counts(make, monkeypatch):
+    """A share of the bytes would merge contexts seen once here; also with grams joined and heads apart."""
+    texts = ["".join(random.choices("abc ", k=3000)) for _ in range(30)]
+    texts += ["xyxyzq a", "xyxyzq a", "zqzqy b", "", None, "\n\n"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    lower = [(t or "").encode().lower() for t in texts]
+    chance = by_hand([t for i, t in enumerate(lower) if not held[i]], 1e-12)
+    for sent, paths in ((C.SENT_GRAMS, C.PATHS), (5, 10)):
+        monkeypatch.setattr(C, "SENT_GRAMS", sent)
+        monkeypatch.setattr(C, "PATHS", paths)
+        rows = {r["doc_id"]: r for r in C.score_documents(make(texts)).collect()}
+        assert len(rows) == len(texts)
+        for i, t in enumerate(lower):
+            if len(t) < 100 or held[i]:
+                want = score(chance, t)
+                assert abs(rows[i]["score"] - want) < 1e-4 + 1e-6 * abs(want), i
+
+
 def test_chances_add_up_to_one():
     texts = [bytes(random.choices(b"abc ", k=200)) for _ in range(20)]
     codes, n = np.unique(C._packed(texts), return_counts=True)
