@@ -4,7 +4,7 @@ A plain ``Window.partitionBy(key)`` gives each key one task. That is right while
 wrong when one shot holds a large part of the data, so every ordered operator comes through here:
 
 * the row count of the largest key is measured (one scalar, read from the key columns only);
-* keys that fit keep the plain window, which costs one shuffle;
+* keys that fit keep the plain window, which costs one shuffle, into tasks of a bounded number of rows;
 * otherwise rows get their position in the key from slices of about equal row count (counts per slice,
   prefix sum over the slice table, row number inside a slice), and work is cut into chunks. A
   bounded look-back is served by copying the last rows of a chunk into the next one; an unbounded
@@ -25,33 +25,39 @@ from shotstream.session import work_dir
 
 @dataclass(frozen=True)
 class Limits:
-    """Row budgets of one task group. ``known`` holds bounds on the rows of the largest key, by key columns;
-    operators that get one do not count again."""
+    """Row budgets of one task group, and of a task with whole keys. ``known`` holds bounds on the rows of the largest key, by key columns,
+    ``rows`` one on all rows; operators that get them do not count again."""
 
     key_rows: int = 250_000
     slice_rows: int = 50_000
     chunk_rows: int = 50_000
+    task_rows: int = 250_000
     known: tuple[tuple[tuple[str, ...], int], ...] = ()
+    rows: int | None = None
 
 
 DEFAULT_LIMITS = Limits()
 
 
 def largest_key_fits(df: DataFrame, keys: Sequence[str], limits: Limits) -> bool:
-    return _largest_key(df, keys, limits) <= limits.key_rows
-
-
-def _largest_key(df: DataFrame, keys: Sequence[str], limits: Limits) -> int:
-    known = dict(limits.known).get(tuple(keys))
-    return known if known is not None else df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return dict(measured(df, keys, limits).known)[tuple(keys)] <= limits.key_rows
 
 
 def measured(df: DataFrame, keys: Sequence[str], limits: Limits) -> Limits:
-    """The limits with the rows of the largest key of ``df``, for a chain of operators none of which adds
+    """The limits with the rows of the largest key and all rows of ``df``, for a chain of operators none of which adds
     rows to a key: counted once, at the source."""
     if tuple(keys) in dict(limits.known):
         return limits
-    return replace(limits, known=(*limits.known, (tuple(keys), _largest_key(df, keys, limits))))
+    largest, rows = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return replace(limits, known=(*limits.known, (tuple(keys), largest or 0)), rows=max(rows or 0, limits.rows or 0))
+
+
+def spread(df: DataFrame, keys: Sequence[str], rows: int | None, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Keys dealt over tasks of about ``task_rows`` rows. A plain shuffle is coalesced by its compressed
+    bytes, so that its tasks grow with the table; few rows are left to it."""
+    if rows is None or rows <= limits.task_rows:
+        return df
+    return df.repartition(max(-(-rows // limits.task_rows), df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], limits: Limits) -> DataFrame:
@@ -105,9 +111,10 @@ def with_position(
 ) -> DataFrame:
     """Add ``pos``, the 0-based row number of each row in its key. Rows equal in ``order`` come in any
     order among themselves; state an order that tells rows apart where that matters."""
+    limits = measured(df, keys, limits)
     if largest_key_fits(df, keys, limits):
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn("pos", number.cast("bigint") - 1)
+        return spread(df, keys, limits.rows, limits).withColumn("pos", number.cast("bigint") - 1)
     return _ranked(df, keys, order, limits)
 
 
@@ -137,9 +144,10 @@ def chunks(
     limits: Limits = DEFAULT_LIMITS,
 ) -> Chunks:
     """Partition each key so that every row sees its ``lookback`` predecessors. Adds ``pos``."""
+    limits = measured(df, keys, limits)
     if largest_key_fits(df, keys, limits):
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        rows = df.withColumn("pos", number.cast("bigint") - 1)
+        rows = spread(df, keys, limits.rows, limits).withColumn("pos", number.cast("bigint") - 1)
         return Chunks(rows, tuple(keys), tuple(order), chunked=False)
     size = max(limits.chunk_rows, lookback, 1)
     home = F.expr(f"pos div {size}L")
@@ -163,9 +171,10 @@ def carry_forward(
     for name, value in values.items():
         df = df.withColumn(name, value)
     upto = (Window.unboundedPreceding, 0)
+    limits = measured(df, keys, limits)
     if largest_key_fits(df, keys, limits):
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
-        return df.withColumns({n: F.last(n, ignorenulls=True).over(window) for n in values})
+        return spread(df, keys, limits.rows, limits).withColumns({n: F.last(n, ignorenulls=True).over(window) for n in values})
     sliced = _sliced(df, keys, order, limits)
     latest = [
         F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*order))).alias(f"_carry_{n}")
@@ -202,9 +211,10 @@ def running_max_before(
 ) -> DataFrame:
     """Add the largest ``column`` among strictly earlier rows of the key (null for the first)."""
     earlier = (Window.unboundedPreceding, -1)
+    limits = measured(df, keys, limits)
     if largest_key_fits(df, keys, limits):
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*earlier)
-        return df.withColumn(name, F.max(column).over(window))
+        return spread(df, keys, limits.rows, limits).withColumn(name, F.max(column).over(window))
     sliced = _sliced(df, keys, order, limits)
     carries = (
         sliced.groupBy(*_SLICE)

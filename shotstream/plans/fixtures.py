@@ -13,7 +13,7 @@ from shotstream.functions.timebase import ns_of
 from shotstream.operators import features as feats
 from shotstream.operators import labels, scoring
 from shotstream.operators.points import assemble_points
-from shotstream.operators.sequence import carry_forward, dimension_join
+from shotstream.operators.sequence import carry_forward, dimension_join, spread
 from shotstream.schema import CHANNELS, feature_name
 
 MINUTE = 60_000_000_000
@@ -188,13 +188,17 @@ def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines of a supplier as a series of quantities in order-key sequence."""
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     rank = F.struct("l_partkey", "l_extendedprice", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem")
+    keyed = lines.select(
+        F.col("l_suppkey").cast("string").alias("shot_id"),
+        # Not a literal: the optimizer would put it in place of the key, and the rows would be shuffled again.
+        F.explode(F.array(F.lit("quantity"))).alias("channel_name"),
+        line.alias("ts_unix_ns"),
+        rank.alias("_rank"),
+    )
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(
-            F.col("l_suppkey").cast("string").alias("shot_id"),
-            F.lit("quantity").alias("channel_name"),
-            line.alias("ts_unix_ns"),
-        )
-        .agg(F.min(rank).alias("_r"))
+        spread(keyed, ["shot_id", "ts_unix_ns"], lines.count())
+        .groupBy("shot_id", "channel_name", "ts_unix_ns")
+        .agg(F.min("_rank").alias("_r"))
         .select("shot_id", "channel_name", "ts_unix_ns", F.col("_r.l_quantity").alias("value"))
     )

@@ -178,6 +178,13 @@ def test_spectrum_against_fft(df, limits):
     np.testing.assert_allclose(peak, each_series(lambda s: slow_spectrum(s)[1]))
 
 
+def test_tasks_of_whole_series_hold_a_bounded_number_of_rows(df):
+    small = Limits(task_rows=20)
+    made = spectral.spectral_energy(df, small)
+    assert made.rdd.getNumPartitions() >= len(PDF) // 20
+    np.testing.assert_allclose(column(made, "energy"), column(spectral.spectral_energy(df), "energy"), rtol=1e-12)
+
+
 def test_vectors_hold_the_channels_of_their_point(spark):
     rows = [
         ("s", 1, [("ip", 1.0, "good"), ("ne", 5.0, "good")]),
