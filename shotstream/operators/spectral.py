@@ -7,14 +7,16 @@ features are 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotstream.functions.validity import missing_as_null
-from shotstream.operators.sequence import DEFAULT_LIMITS, Limits, chunks, dimension_join
+from shotstream.operators.sequence import DEFAULT_LIMITS, Chunks, Limits, chunks, dimension_join, largest_key_fits, measured
 from shotstream.schema import SERIES_KEY
 
 MAX_WINDOW = 1000
@@ -33,14 +35,23 @@ def trailing_windows(values: np.ndarray, size: int) -> Iterator[tuple[int, int,
             yield size - 1 + start, size - 1 + start + len(block), block
 
 
-def _with_frame(telemetry: DataFrame) -> DataFrame:
+def _framed(telemetry: DataFrame, limits: Limits) -> Chunks:
     """Samples that are not missing, with ``frame``, the number of samples the features of a series look
-    at. Both features leave missing samples out, so they see the same ones."""
+    at; null where the key has a null. Both features leave missing samples out, so they see the same ones.
+    Series that fit are counted where they are cut, others by a join."""
     telemetry = telemetry.withColumn("value", missing_as_null("value")).filter("value IS NOT NULL")
+    limits = measured(telemetry, SERIES_KEY, limits)
+    order, lookback = ["ts_unix_ns"], MAX_WINDOW - 1
+    if largest_key_fits(telemetry, SERIES_KEY, limits):
+        seq = chunks(telemetry, SERIES_KEY, order, lookback, limits)
+        n = F.count(F.lit(1)).over(Window.partitionBy(*seq.parts))
+        frame = F.least(F.lit(MAX_WINDOW), F.floor(n / 10)).cast("int")
+        whole = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in SERIES_KEY])
+        return replace(seq, rows=seq.rows.withColumn("frame", F.when(whole, frame)))
     sizes = telemetry.groupBy(*SERIES_KEY).agg(
         F.least(F.lit(MAX_WINDOW), F.expr("count(1) div 10")).cast("int").alias("frame")
     )
-    return dimension_join(telemetry, sizes, SERIES_KEY, ["ts_unix_ns"])
+    return chunks(dimension_join(telemetry, sizes, SERIES_KEY, order), SERIES_KEY, order, lookback, limits)
 
 
 def spectral_energy(telemetry: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -49,7 +60,7 @@ def spectral_energy(telemetry: DataFrame, limits: Limits = DEFAULT_LIMITS) -> Da
     Parseval: N * sum(x^2) is the two-sided energy; the one-sided sum halves it after adding the two
     bins that have no mirror image, the sum of x and (even N) the alternating sum of x.
     """
-    seq = chunks(_with_frame(telemetry), SERIES_KEY, ["ts_unix_ns"], MAX_WINDOW - 1, limits)
+    seq = _framed(telemetry, limits)
     # Blocks of a frame's length: the last `frame` rows are those of the block before that stand after the
     # row's place, and those of its own block up to it. So each row costs the same whatever the frame, nothing
     # is subtracted, and all windows keep the partitioning of the series.
@@ -98,21 +109,19 @@ def dominant_frequency(
 ) -> DataFrame:
     """Add ``dominant_freq``. A Fourier transform per frame is numpy's work; Spark hands it chunks
     of bounded length."""
-    seq = chunks(_with_frame(telemetry), SERIES_KEY, ["ts_unix_ns"], MAX_WINDOW - 1, limits)
+    seq = _framed(telemetry, limits)
     own = seq.chunked
+    names = ["shot_id", "channel_name", "ts_unix_ns", "value", "frame"]
 
-    def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_unix_ns", kind="stable")
-        size = int(pdf["frame"].iloc[0])
-        freq = peak_frequency(pdf["value"].to_numpy(), size, rate_hz)
-        out = pdf[["shot_id", "channel_name", "ts_unix_ns", "value", "frame"]].assign(
-            dominant_freq=freq
-        )
-        return out[pdf["_own"].to_numpy()] if own else out
+    def peaks(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("ts_unix_ns")
+        size = rows["frame"][0].as_py() or 0
+        freq = peak_frequency(rows["value"].to_numpy(), size, rate_hz)
+        out = rows.select(names).append_column("dominant_freq", pa.array(freq))
+        return out.filter(rows["_own"]) if own else out
 
-    names = ["shot_id", "channel_name", "ts_unix_ns", "value", "frame"]
     extra = ["_chunk", "_own"] if own else []
-    return seq.rows.select(*names, *extra).groupBy(*seq.parts).applyInPandas(
+    return seq.rows.select(*names, *extra).groupBy(*seq.parts).applyInArrow(
         peaks,
         "shot_id string, channel_name string, ts_unix_ns bigint, value double, frame int,"
         " dominant_freq double",

@@ -185,6 +185,18 @@ def test_tasks_of_whole_series_hold_a_bounded_number_of_rows(df):
     np.testing.assert_allclose(column(made, "energy"), column(spectral.spectral_energy(df), "energy"), rtol=1e-12)
 
 
+def test_spectrum_reads_its_source_twice(spark, df):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    spectral.dominant_frequency(df.mapInArrow(told, df.schema)).collect()
+    assert read.value <= 2 * len(PDF)
+
+
 def test_vectors_hold_the_channels_of_their_point(spark):
     rows = [
         ("s", 1, [("ip", 1.0, "good"), ("ne", 5.0, "good")]),
